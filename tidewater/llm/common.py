@@ -91,3 +91,62 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+#: Code points worked on at once: bounds the memory of one step, also for one very long text.
+PIECE = 1 << 20
+
+
+def text_pieces(texts: list[str | None], piece: int = PIECE):
+    """Whole texts as code points, in pieces: (codes, starts, rows).
+
+    codes (uint32) begins and ends with a line feed and has one between texts; text k of the piece
+    lies at starts[k] + 1 up to the line feed at starts[k + 1]; rows[k] is its number in texts. A text
+    longer than a piece comes in parts that are cut at white space where there is any.
+    """
+    held: list[str] = []
+    rows: list[int] = []
+    size = 0
+
+    def flush():
+        lens = np.fromiter(map(len, held), np.int64, len(held)) + 1
+        codes = np.frombuffer(("\n" + "\n".join(held) + "\n").encode("utf-32-le", "surrogatepass"), np.dtype("<u4"))
+        return codes, np.concatenate(([0], np.cumsum(lens))), np.array(rows, np.int64)
+
+    for row, text in enumerate(texts):
+        text = text or ""
+        at = 0
+        while True:
+            end = len(text)
+            if end - at > piece:
+                end = at + piece
+                cut = max(text.rfind(" ", at + piece // 2, end), text.rfind("\n", at + piece // 2, end))
+                end = cut if cut > at else end
+            if held and size + end - at > piece:
+                yield flush()
+                held, rows, size = [], [], 0
+            held.append(text[at:end])
+            rows.append(row)
+            size += end - at
+            at = end
+            if at >= len(text):
+                break
+    if held:
+        yield flush()
+
+
+def ngram_levels(codes: np.ndarray, gap: np.ndarray, most: int):
+    """For n = 1..most: (n, hash of the n-gram at each place, whether it lies in one word).
+
+    gap marks separators. An n-gram counts if it has a separator at its ends only, as the mark of a
+    word's begin or end, and is not separators alone. Arrays get shorter by one with each n.
+    """
+    mult = np.uint64(0x9E3779B97F4A7C15)
+    c = np.where(gap, np.uint64(1), codes.astype(np.uint64) + np.uint64(2))
+    h = c * mult
+    yield 1, h, ~gap
+    inner = np.ones(len(codes), bool)
+    for n in range(2, most + 1):
+        h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * mult + c[n - 1 :]
+        inner = inner[:-1] & ~gap[n - 2 : -1] if n > 2 else inner[:-1]
+        yield n, h, inner if n > 2 else ~(gap[:-1] & gap[1:])
