@@ -1,12 +1,13 @@
 """The training-data queries, and SQL for those that SQL can express."""
 
-from tidewater.llm import decontaminate, exact_dedup, langid, mixing, quality, secrets
+from tidewater.llm import decontaminate, exact_dedup, html_extract, langid, mixing, quality, secrets
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_quality": quality.op2_quality,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_secrets": secrets.op6_secrets,
+    "op7_html_extract": html_extract.op7_html_extract,
     "op8_langid": langid.op8_langid,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
