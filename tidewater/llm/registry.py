@@ -1,6 +1,6 @@
 """The training-data queries, and SQL for those that SQL can express."""
 
-from tidewater.llm import decontaminate, exact_dedup, html_extract, langid, mixing, quality, secrets
+from tidewater.llm import decontaminate, exact_dedup, html_extract, langid, mixing, quality, secrets, suffix_dedup
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -9,6 +9,7 @@ QUERIES = {
     "op6_secrets": secrets.op6_secrets,
     "op7_html_extract": html_extract.op7_html_extract,
     "op8_langid": langid.op8_langid,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
