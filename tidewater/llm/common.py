@@ -71,6 +71,28 @@ class Scratch:
         _delete(self.spark, self.path)
 
 
+LAST = (1 << 63) - 1
+
+
+def numbered(scratch: Scratch, docs: DataFrame, id_col: str) -> tuple[DataFrame, int]:
+    """docs with ``ord`` (the id, null as the largest) and ``rid`` (unique), and the number of rows.
+
+    rid is the id where ids are unique; else the rows are numbered and written to the shared folder, so
+    that every later read sees the same numbers.
+    """
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"ids must be integers, {id_col} is {kind}")
+    own = docs[id_col].cast("long")
+    counted = docs.select(own.alias("i")).groupBy("i").count()
+    n, most, nulls = counted.agg(F.coalesce(F.sum("count"), F.lit(0)), F.max("count"), F.count_if(F.col("i").isNull())).head()
+    if n and (most > 1 or nulls):
+        docs = scratch.table(docs.withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    else:
+        docs = docs.withColumn("rid", own)
+    return docs.withColumn("ord", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))), n
+
+
 def others(df: DataFrame, taken: list[str]) -> list[Column]:
     """The columns of df whose names, in any case, are not among those that an operator adds."""
     own = {c.lower() for c in taken}

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch, mix64
+from tidewater.llm.common import Scratch, mix64, numbered
 
 LENGTH = 100
 GRAM = 32
@@ -42,7 +42,6 @@ BUCKET_BYTES = 8 << 20
 MAX_BUCKETS = 1 << 16
 SAMPLE_ROWS = 1500
 WIDE = 1000
-LAST = (1 << 63) - 1
 
 _U = np.uint64
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -452,17 +451,8 @@ def _splitters(rows: DataFrame, n_rows: int):
 def remove_repeats(spark, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts, what is left as ``kept``."""
     scratch = Scratch(spark, "suffix")
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    if kind not in ("tinyint", "smallint", "int", "bigint"):
-        raise ValueError(f"ids must be integers, {id_col} is {kind}")
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    once = slim.groupBy("doc_id").count().agg(F.sum("count"), F.max("count"), F.count_if(F.col("doc_id").isNull())).head()
-    n_rows = once[0] or 0
-    if n_rows and (once[1] > 1 or once[2]):
-        slim = scratch.table(slim.withColumn("rid", F.monotonically_increasing_id()), "numbered")
-    else:
-        slim = slim.withColumn("rid", F.col("doc_id"))
-    rows = slim.select(F.coalesce("doc_id", F.lit(LAST)).alias("ord"), "rid", "text")
+    slim, n_rows = numbered(scratch, docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), "doc_id")
+    rows = slim.select("ord", "rid", "text")
     splitters, buckets = _splitters(rows, n_rows)
     parts = max(2, min(buckets, 20_000))
 
