@@ -39,7 +39,8 @@ LENGTH = 100
 GRAM = 32
 PIECE = 1 << 20
 BUCKET_BYTES = 8 << 20
-MAX_BUCKETS = 1 << 16
+BUCKET_WINDOWS = 400_000
+MAX_BUCKETS = 1 << 20
 SAMPLE_ROWS = 1500
 WIDE = 1000
 
@@ -256,19 +257,19 @@ def _send_runs(splitters):
     return run
 
 
-_FOUND = ["rid", "asks", "data"], [pa.int64(), pa.bool_(), pa.binary()]
-_FOUND_DDL = "rid long, asks boolean, data binary"
+_FOUND = ["rid", "asks", "windows", "data"], [pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+_FOUND_DDL = "rid long, asks boolean, windows long, data binary"
 
 
 def _sort_runs(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() >= buckets:
-            rows = [(r, False, d) for r, d in zip(table.column("rid").to_pylist(), table.column("data").to_pylist(), strict=True)]
+            rows = [(r, False, 0, d) for r, d in zip(table.column("rid").to_pylist(), table.column("data").to_pylist(), strict=True)]
             return pa.Table.from_batches([_out(rows, *_FOUND)])
         c, _ = _unpack(table.column("data").to_pylist())
         order, new = _firsts([c["k0"], c["k1"], c["k2"]], [c["ord"], c["rid"], c["p"]])
         again = order[~new]
-        rows = [(r, False, d) for r, d in _by_row(c["rid"][again], {"lo": c["p"][again], "n": c["n"][again]}, _RUN)]
+        rows = [(r, False, 0, d) for r, d in _by_row(c["rid"][again], {"lo": c["p"][again], "n": c["n"][again]}, _RUN)]
         first = order[new]
         k0, k1 = c["k0"][first], c["k1"][first]
         begins = np.concatenate(([True], (k0[1:] != k0[:-1]) | (k1[1:] != k1[:-1])))
@@ -281,7 +282,7 @@ def _sort_runs(buckets: int):
         some = ask[group]
         f = first[some]
         cols = {"lo": c["p"][f], "n": c["n"][f], "wide": wide[group][some]}
-        rows += [(r, True, d) for r, d in _by_row(c["rid"][f], cols, _ASK)]
+        rows += [(r, True, int(_unpack([d], _ASK)[0]["n"].sum()), d) for r, d in _by_row(c["rid"][f], cols, _ASK)]
         return pa.Table.from_batches([_out(rows, *_FOUND)])
 
     return run
@@ -365,7 +366,7 @@ def _sort_windows(buckets: int):
         bucket = table.column("bucket")[0].as_py()
         blobs = table.column("data").to_pylist()
         if bucket >= 2 * buckets:
-            return pa.Table.from_batches([_out([(r, False, d) for r, d in zip(table.column("rid").to_pylist(), blobs, strict=True)], *_FOUND)])
+            return pa.Table.from_batches([_out([(r, False, 0, d) for r, d in zip(table.column("rid").to_pylist(), blobs, strict=True)], *_FOUND)])
         if bucket >= buckets:
             c, _ = _unpack(blobs, _WINDOW)
         else:
@@ -388,7 +389,7 @@ def _sort_windows(buckets: int):
         begin = np.concatenate(([True], (np.diff(rid) != 0) | (np.diff(p) != 1))) if len(p) else np.zeros(0, bool)
         at = np.flatnonzero(begin)
         n = np.diff(np.concatenate((at, [len(p)])))
-        rows = [(r, False, d) for r, d in _by_row(rid[at], {"lo": p[at], "n": n}, _RUN)]
+        rows = [(r, False, 0, d) for r, d in _by_row(rid[at], {"lo": p[at], "n": n}, _RUN)]
         return pa.Table.from_batches([_out(rows, *_FOUND)])
 
     return run
@@ -435,17 +436,22 @@ def _sampled(batches):
         yield _out([(sum(map(len, texts)), len(texts), _pack(c, np.arange(len(c["p"])), _RECORD[4:]))], ["size", "n", "data"], [pa.int64(), pa.int64(), pa.binary()])
 
 
-def _splitters(rows: DataFrame, n_rows: int):
-    """Keys that cut the records into buckets of about BUCKET_BYTES of text, from about SAMPLE_ROWS texts."""
+def _sampled_keys(rows: DataFrame, n_rows: int):
+    """(keys of about SAMPLE_ROWS texts in order, buckets of about BUCKET_BYTES of text for all of them)."""
     share = min(1.0, SAMPLE_ROWS / max(n_rows, 1))
     got = rows.sample(share, seed=11).mapInArrow(_sampled, "size long, n long, data binary").collect()
     n = sum(r.n for r in got)
     size = sum(r.size for r in got) / max(n, 1) * n_rows
     c, _ = _unpack([r.data for r in got], _RECORD[4:])
-    buckets = int(max(2, min(MAX_BUCKETS, size // BUCKET_BYTES + 1, len(c["k0"]) + 1)))
     order = multikey_order([c["k0"], c["k1"], c["k2"]]) if len(c["k0"]) else np.zeros(0, np.int64)
-    at = order[(np.arange(1, buckets) * len(order)) // buckets] if len(order) else order
-    return (c["k0"][at], c["k1"][at], c["k2"][at]), buckets
+    return tuple(c[k][order] for k in ("k0", "k1", "k2")), int(size // BUCKET_BYTES) + 1
+
+
+def _cut(keys: tuple[np.ndarray, ...], buckets: int):
+    """(splitters, number of buckets): every so manyth key, in at least 2 and at most MAX_BUCKETS buckets."""
+    buckets = int(max(1, min(MAX_BUCKETS, max(2, buckets), len(keys[0]) + 1)))
+    at = (np.arange(1, buckets) * len(keys[0])) // buckets
+    return tuple(k[at] for k in keys), buckets
 
 
 def remove_repeats(spark, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, texts: bool = False) -> DataFrame:
@@ -453,11 +459,16 @@ def remove_repeats(spark, docs: DataFrame, id_col: str = "doc_id", text_col: str
     scratch = Scratch(spark, "suffix")
     slim, n_rows = numbered(scratch, docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), "doc_id")
     rows = slim.select("ord", "rid", "text")
-    splitters, buckets = _splitters(rows, n_rows)
+    keys, buckets = _sampled_keys(rows, n_rows)
+    splitters, buckets = _cut(keys, buckets)
     parts = max(2, min(buckets, 20_000))
 
     sent = rows.mapInArrow(_send_runs(splitters), _SENT_DDL)
     found = scratch.table(sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_sort_runs(buckets), _FOUND_DDL), "found")
+    # buckets for the runs that ask, by the windows they have
+    windows = found.where("asks").agg(F.coalesce(F.sum("windows"), F.lit(0))).head()[0]
+    splitters, buckets = _cut(keys, windows // BUCKET_WINDOWS + 1)
+    parts = max(2, min(buckets, 20_000))
     asks = found.where("asks").groupBy("rid").agg(F.collect_list("data").alias("asks"))
     bodies = rows.join(asks, "rid").select("ord", "rid", "text", "asks").mapInArrow(_send_bytes(splitters), _SENT_DDL)
     shared = bodies.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_sort_windows(buckets), _FOUND_DDL)
