@@ -1,11 +1,12 @@
 """The training-data queries, and SQL for those that SQL can express."""
 
-from tidewater.llm import decontaminate, exact_dedup, html_extract, langid, line_dedup, mixing, quality, secrets, suffix_dedup
+from tidewater.llm import decontaminate, exact_dedup, html_extract, langid, line_dedup, minhash, mixing, quality, secrets, suffix_dedup
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_quality": quality.op2_quality,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_minhash": minhash.op4_minhash,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_secrets": secrets.op6_secrets,
     "op7_html_extract": html_extract.op7_html_extract,
