@@ -1,4 +1,6 @@
 """Name to query, and to the SQL that says the same."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidewater.queries import builder, statements
+
+QUERIES = builder.QUERIES | statements.QUERIES
+ORACLES = builder.ORACLES | statements.ORACLES
