@@ -1,18 +1,18 @@
 """Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles.
 
 A text is a weighted set of shingles (5 words; a text of fewer words is one shingle; words as in the decontamination
-contract): times in the text by idf. Document frequencies are counted over all texts for shingles that are frequent in a bounded
-sample (``HEAVY`` of ``SAMPLE_ROWS`` texts); any other has the weight of that frequency, so
-shingles that no two texts share and those that a few do weigh alike.
+contract): times in the text by idf. Document frequencies are counted over all texts for the shingles that ``HEAVY`` of
+about ``SAMPLE_ROWS`` sampled texts have (a tenth: boilerplate, which then weighs less); any other weighs as if a tenth had it,
+so the texts of all but the largest groups of copies are compared as they stand.
 
 1. Texts with equal weighted sets are one class at once; the first stands for them (its set is the copies' too).
 2. Each representative gets ``SAMPLES`` weighted samples. For weighted Jaccard similarity J two texts agree in a sample with
    probability J. ``ROWS`` samples are a band; texts that agree in a band meet in its bucket.
 3. Every text is compared with one leader of each of its buckets, not with all: first by samples (``AGREE`` of them; at J = 0.8
-   fewer agree once in millions), then by exact weighted Jaccard similarity of the whole texts, at least ``LEAST``.
-4. Links make classes. In buckets that still hold texts of several classes, texts of different classes are compared: first
-   the closest by samples of each other class, then, after joining classes again, every pair left that samples allow.
-   Large buckets are split in blocks for that; pairs within a class need no comparison, so copies are never expanded.
+   fewer agree once in 100,000 pairs), then by exact weighted Jaccard similarity of the whole texts, at least ``LEAST``.
+4. Links make classes. In buckets that still hold texts of several classes all texts of different classes are compared, each pair
+   in the first bucket that it shares, again by samples first; a task tells only the links that join classes. Large buckets
+   are dealt out as pairs of blocks; pairs within a class need no comparison, and copies are never expanded.
 
 Scale: shingles never shuffle; what does is samples (240 bytes a text), bucket keys, and the texts of candidates. Bucket leaders are
 pre-aggregated, and the joins can be split.
@@ -40,10 +40,12 @@ LEAST = 0.8
 BANDS = 10
 ROWS = 3
 SAMPLES = BANDS * ROWS
-AGREE = 12
+AGREE = 14
 SAMPLE_ROWS = 2000
 HEAVY = 10
 BLOCK = 512
+#: Rows of small buckets that a task takes together.
+TOGETHER = 4000
 PIECE = 1 << 20
 
 _U = np.uint64
@@ -269,7 +271,8 @@ def _banded(batches):
         for i in range(ROWS):
             key = mix64(key * _U(0x9E3779B97F4A7C15) + s[:, :, i])
         rid = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(rid)], ["key", "rid"])
+        band = np.tile(np.arange(BANDS, dtype=np.int32), n)
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(rid)], ["key", "band", "rid"])
 
 
 def _agreeing(batches):
@@ -291,28 +294,66 @@ def _verified(held):
     return run
 
 
-def _across(best_only: bool):
-    """Pairs of a block of a bucket whose classes differ and whose samples agree: all, or each text's best of each other class."""
-
+def _root(up: dict[int, int], x: int) -> int:
+    while (y := up.get(x, x)) != x:
+        up[x] = up.get(y, y)
+        x = y
+    return x
+
+
+def block_links(rid, label, band: int, left, right, samples, owner_sets) -> list[tuple[int, int]]:
+    """Links of a block pair that join classes. left and right say which side a text is on; -1: the block with itself."""
+    starts, sizes, ids, weights = owner_sets
+    total = np.add.reduceat(weights, starts)
+    dense = np.zeros(int(ids.max()) + 1)
+    one = left[0] == -1
+    up: dict[int, int] = {}
+    own = label.copy()
+    found = []
+    places = np.arange(len(rid))
+    for i in np.flatnonzero(left != 0):
+        other = np.flatnonzero((own != own[i]) & ((places > i) if one else (right != 0)))
+        if not len(other):
+            continue
+        same = samples[other] == samples[i]
+        first = same.reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1)  # they share this band, so there is one
+        other = other[(same.sum(axis=1) >= AGREE) & (first == band)]
+        if not len(other):
+            continue
+        mine = slice(starts[i], starts[i] + sizes[i])
+        dense[ids[mine]] = weights[mine]
+        n = sizes[other]
+        at = np.repeat(starts[other], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        both = np.add.reduceat(np.minimum(dense[ids[at]], weights[at]), np.cumsum(n) - n)
+        dense[ids[mine]] = 0
+        joined = False
+        for j in other[both / (total[i] + total[other] - both) >= LEAST - 1e-9]:
+            a, b = _root(up, int(label[i])), _root(up, int(label[j]))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                found.append((int(rid[i]), int(rid[j])))
+                joined = True
+        if joined:
+            own = np.array([_root(up, int(x)) for x in label])
+    return found
+
+
+def _across(held):
     def run(table: pa.Table) -> pa.Table:
-        rid, label, left = (table.column(c).to_numpy() for c in ("rid", "label", "left"))
-        n = len(rid)
-        s = np.frombuffer(b"".join(table.column("samples").to_pylist()), _U).reshape(n, SAMPLES)
-        right = table.column("right").to_numpy()
-        us, vs = [], []
-        one = left[0] == -1
-        for i in np.flatnonzero(left != 0):
-            other = np.flatnonzero((label != label[i]) & ((np.arange(n) > i) if one else (right != 0)))
-            agree = (s[other] == s[i]).sum(axis=1)
-            other, agree = other[agree >= AGREE], agree[agree >= AGREE]
-            if best_only and len(other):
-                order = np.lexsort((rid[other], -agree, label[other]))
-                first = np.concatenate(([True], label[other][order][1:] != label[other][order][:-1]))
-                other = other[order[first]]
-            us.append(np.full(len(other), rid[i]))
-            vs.append(rid[other])
-        none = np.zeros(0, np.int64)
-        return pa.table({"u": np.concatenate(us) if us else none, "v": np.concatenate(vs) if vs else none})
+        key, x, y = (table.column(c).to_numpy() for c in ("key", "x", "y"))
+        rid, label, band, left, right = (table.column(c).to_numpy() for c in ("rid", "label", "band", "left", "right"))
+        samples = np.frombuffer(b"".join(table.column("samples").to_pylist()), _U).reshape(len(rid), SAMPLES)
+        texts = table.column("text").to_pylist()
+        order = np.lexsort((rid, y, x, key))
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(key[order]) != 0) | (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0))))
+        out: list[tuple[int, int]] = []
+        for part in np.split(order, new[1:]):
+            owner, sh, times = shingle_sets([texts[i] for i in part])
+            _, ids = np.unique(sh, return_inverse=True)
+            starts = np.searchsorted(owner, np.arange(len(part)))
+            sets = starts, np.diff(np.concatenate((starts, [len(owner)]))), ids, times * held.value.of(sh).astype(np.float64)
+            out += block_links(rid[part], label[part], int(band[part[0]]), left[part], right[part], samples[part], sets)
+        return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
     return run
 
@@ -335,7 +376,7 @@ def classes_of(spark, scratch: Scratch, rows: DataFrame, n: int) -> DataFrame:
     least = F.min(F.struct("ord", "rid", "samples"))
     groups = scratch.table(sketch.where("some").groupBy("f1", "f2").agg(least.alias("first"), F.count("*").alias("copies")), "groups")
     first = groups.select("first.rid", "first.samples")
-    bands = scratch.table(first.select("rid", "samples").mapInArrow(_banded, "key long, rid long"), "bands")
+    bands = scratch.table(first.select("rid", "samples").mapInArrow(_banded, "key long, band int, rid long"), "bands")
 
     lead = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("rid", "key").alias("o"), "rid")).alias("lead"), F.count("*").alias("n")).where(F.col("n") > 1)
     lead = lead.select("key", F.col("lead.rid").alias("v"))
@@ -352,28 +393,24 @@ def classes_of(spark, scratch: Scratch, rows: DataFrame, n: int) -> DataFrame:
 
     links = linked(scratch.table(sampled(pairs), "pairs0"), "links0")
     label = components(scratch, links, "c0")
-    for turn in (1, 2):
-        named = bands.join(label.select(F.col("u").alias("rid"), F.col("v").alias("l")), "rid", "left").select("key", "rid", F.coalesce("l", "rid").alias("label"))
-        named = scratch.table(named, f"named{turn}")
-        mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where(F.col("low") != F.col("high"))
-        mixed = scratch.table(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), f"mixed{turn}")
-        if mixed.isEmpty():
-            break
-        inside = named.join(mixed, "key").withColumn("b", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-        part = inside.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    named = bands.join(label.select(F.col("u").alias("rid"), F.col("v").alias("l")), "rid", "left").select("key", "band", "rid", F.coalesce("l", "rid").alias("label"))
+    named = scratch.table(named, "named")
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where(F.col("low") != F.col("high"))
+    mixed = scratch.table(mixed.select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    if inside := mixed.agg(F.sum("n")).head()[0]:
+        groups_n = inside // TOGETHER + 1
+        member = named.join(mixed, "key").withColumn("b", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+        part = member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        low, high = F.least("b", "o"), F.greatest("b", "o")
         part = part.select(
-            "key", "rid", "label", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"),
+            "key", "band", "rid", "label", low.alias("x"), high.alias("y"),
             F.when(F.col("b") == F.col("o"), -1).when(F.col("b") < F.col("o"), 1).otherwise(0).alias("left"),
             F.when(F.col("b") > F.col("o"), 1).otherwise(0).alias("right"),
+            F.when(F.col("blocks") == 1, F.pmod("key", F.lit(groups_n))).otherwise(F.xxhash64("key", low, high)).alias("g"),
         )
-        found = part.join(first, "rid").groupBy("key", "x", "y").applyInArrow(_across(turn == 1), "u long, v long")
-        more = scratch.table(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"pairs{turn}")
-        if more.isEmpty():
-            break
-        new = linked(more, f"links{turn}")
-        if new.isEmpty():
-            continue
-        label = components(scratch, label.unionByName(new), f"c{turn}")
+        whole = part.join(first, "rid").join(texts, "rid").select("g", "key", "x", "y", "band", "rid", "label", "left", "right", "samples", "text")
+        more = whole.groupBy("g").applyInArrow(_across(weights), "u long, v long")
+        label = components(scratch, label.unionByName(scratch.table(more, "more")), "c1")
 
     # copies get the class of their representative; then the smallest id of each class, by order
     named = groups.select("f1", "f2", "copies", F.col("first.ord").alias("o"), F.col("first.rid").alias("r"))
