@@ -42,7 +42,7 @@ ROWS = 3
 SAMPLES = BANDS * ROWS
 AGREE = 14
 SAMPLE_ROWS = 2000
-HEAVY = 10
+HEAVY = 200
 BLOCK = 512
 #: Rows of small buckets that a task takes together.
 TOGETHER = 4000
@@ -122,8 +122,8 @@ class Weights:
         order = np.argsort(shingles)
         self.known = shingles[order]
         df = np.maximum(counts[order], floor)
-        self.idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-        self.rest = np.float32(math.log((1 + n) / (1 + floor)) + 1)
+        self.idf = (np.log10((1 + n) / (1 + df)) + 1).astype(np.float32)
+        self.rest = np.float32(math.log10((1 + n) / (1 + floor)) + 1)
 
     def of(self, shingles: np.ndarray) -> np.ndarray:
         out = np.full(len(shingles), self.rest, np.float32)
