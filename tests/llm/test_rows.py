@@ -1,0 +1,284 @@
+"""Operators against brute force, on rows with nulls, repeats, empty and long texts, ties and clashing columns."""
+
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+import duckdb
+import pytest
+
+from tidewater.llm import decontaminate, exact_dedup, line_dedup, mixing, secrets, suffix_dedup
+
+SCHEMA = "doc_id long, text string, source string, size string, kept string, rid int, target double"
+
+
+def frame(spark, rows):
+    """(doc_id, text[, source]) with further columns whose names the operators use themselves."""
+    full = [(r[0], r[1], r[2] if len(r) > 2 else None, "s", "k", 7, 1.5) for r in rows]
+    return spark.createDataFrame(full, SCHEMA).coalesce(1)
+
+
+def tuples(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+ODD = [(1, "a  b"), (2, "ab"), (3, None), (4, ""), (4, ""), (None, "ab"), (None, " \t\n"), (5, "x" * 5000), (6, "x" * 5000), (7, "ab "), (8, "a\x0bb"), (2, "ab")]
+
+
+def test_exact_dedup(spark):
+    got = tuples(exact_dedup.exact_dedup(spark, frame(spark, ODD)))
+    groups = defaultdict(list)
+    for i, (d, t) in enumerate(ODD):
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), d is None, d or 0, i))
+    want = []
+    for text, members in groups.items():
+        best = min(members)
+        for _, _, _, i in members:
+            want.append((ODD[i][0], ODD[best[3]][0], len(members), i == best[3], hashlib.sha256(text.encode()).hexdigest()))
+    assert got == sorted(want, key=repr)
+
+
+def test_exact_dedup_of_many(spark):
+    """More rows than a batch, so that the filter's blocks merge; unique rows pass, groups meet."""
+    rows = [(i, f"text {i % 900 if i % 3 else i}") for i in range(3000)]
+    got = exact_dedup.exact_dedup(spark, frame(spark, rows).repartition(5)).collect()
+    by = defaultdict(list)
+    for i, t in rows:
+        by[t].append(i)
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(i, max(by[t], key=lambda j: (len(t), -j)), len(by[t])) for i, t in rows}
+    assert sum(r.kept for r in got) == len(by)
+
+
+def test_bloom_never_misses(spark):
+    rows = spark.range(0, 5000).selectExpr("xxhash64(id % 4000) AS h")
+    bits, words = exact_dedup.repeated_hashes(spark, rows, 5000)
+    import numpy as np
+
+    h = np.array([r.h for r in rows.collect()])
+    at = exact_dedup._probes(h, bits)
+    hit = ((words[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1).all(axis=0)
+    again = np.isin(h, h[4000:])
+    assert hit[again].all() and hit[~again].mean() < 0.05
+
+
+MIX = [(i, "w " * (i % 7), "abc"[i % 3]) for i in range(60)] + [(100, "one two", None), (101, None, "a"), (None, "x y z", "b"), (3, "w w w", "a"), (3, "w w w", "a"), (200, "", "empty"), (201, "a b c", "é")]
+
+
+def test_mixing_matches_sql(spark):
+    got = mixing.mix_sources(frame(spark, MIX)).select("doc_id", "source", "size", "source_size", "target", "taken")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(r[0], r[1], r[2]) for r in MIX])
+    rel = con.sql(mixing.ORACLE)
+    order = [rel.columns.index(c) for c in got.columns]
+    assert tuples(got) == sorted((tuple(x[i] for i in order) for x in rel.fetchall()), key=repr)
+
+
+def test_mixing_targets(spark):
+    rows = [(i, "w " * 10, "big" if i < 80 else "tiny") for i in range(82)]
+    got = mixing.mix_sources(frame(spark, rows), weights=(1, 100)).collect()
+    target = {r.source: r.target for r in got}
+    assert target["tiny"] == 40.0 and target["big"] == 820 * 1.5 - 40  # clamped at 2 times its size, the rest goes on
+    for s in target:
+        assert abs(sum(r.taken for r in got if r.source == s) - target[s]) <= 5
+    assert max(r.copies for r in got) <= 2
+    again = mixing.repeat_rows(mixing.mix_sources(frame(spark, rows), weights=(1, 100)))
+    assert again.count() == sum(r.copies for r in got)
+    assert set(again.columns) >= {"doc_id", "text", "kept", "rid", "copy"}
+
+
+def brute_repeats(rows):
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    seen, out = set(), []
+    for i in order:
+        b = (rows[i][1] or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 99):
+            if (w := b[p : p + 100]) in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(w)
+        spans = sum(1 for k, c in enumerate(gone) if c and (k == 0 or not gone[k - 1]))
+        out.append((rows[i][0], len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, c in zip(b, gone, strict=True) if not c)).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("turn", range(3))
+def test_suffix_dedup(spark, turn):
+    rnd = random.Random(turn)
+    words = ["ab", "é", "tion", "the ", "zz", " ", "\n"]
+    passages = ["".join(rnd.choice(words) for _ in range(90)) for _ in range(4)]
+    rows = []
+    for i in range(40):
+        parts = [rnd.choice([rnd.choice(passages), "x" * rnd.randint(0, 300), "".join(rnd.choice(words) for _ in range(60)), rnd.choice(passages)[rnd.randint(0, 50) :]]) for _ in range(rnd.randint(0, 5))]
+        text = "".join(parts)
+        rows.append((rnd.choice([i, i, i, None, 5]) if turn else i, rnd.choice([text, text, text, None, ""])))
+    got = tuples(suffix_dedup.remove_repeats(spark, frame(spark, rows)))
+    assert got == brute_repeats(rows)
+    assert sum(r[2] for r in got) > 500
+
+
+def test_suffix_dedup_wide_groups_and_pieces(spark, monkeypatch):
+    """Windows one by one, and texts cut in pieces."""
+    rnd = random.Random(5)
+    common = "".join(rnd.choice("abcdef ") for _ in range(160))
+    rows = [(i, "".join(rnd.choice("ghijkl ") for _ in range(80)) + common + "".join(rnd.choice("mnopq ") for _ in range(80))) for i in range(30)]
+    texts = [t.encode() for _, t in rows]
+    monkeypatch.setattr(suffix_dedup, "PIECE", 150)
+    import numpy as np
+
+    c = suffix_dedup._records(np.arange(30), np.arange(30), texts)
+    windows = sorted((int(r), int(p) + k) for r, p, n in zip(c["rid"], c["p"], c["n"], strict=True) for k in range(n))
+    assert windows == [(i, p) for i, t in enumerate(texts) for p in range(len(t) - 99)]
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 20)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_WINDOWS", 200)
+    assert tuples(suffix_dedup.remove_repeats(spark, frame(spark, rows))) == brute_repeats(rows)
+
+
+def test_suffix_dedup_empty(spark):
+    assert suffix_dedup.remove_repeats(spark, frame(spark, [])).collect() == []
+
+
+def test_keys_are_placed_as_sorted():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    keys = tuple(rng.integers(0, 3, 400).astype(np.uint64) for _ in range(3))
+    order = suffix_dedup.multikey_order(list(keys))
+    rows = list(zip(*keys, strict=True))
+    assert [rows[i] for i in order] == sorted(rows)
+    cut = sorted(set(rows))[::5]
+    splitters = tuple(np.array([c[k] for c in cut]) for k in range(3))
+    assert list(suffix_dedup.place(splitters, keys)) == [sum(c <= r for c in cut) for r in rows]
+
+
+LINES = [
+    (1, "short\n\nthe first line of this text is long enough to count by itself, surely\nb\nc\nd"),
+    (2, "x\nshort\nb\nc\nd\ne"), (3, "b\nc\nq\n  the first line of this text is long enough to count by itself, surely "),
+    (4, None), (5, ""), (6, "\n \n"), (7, "a\na\na\na\na\na"), (8, "b\nc\nd\n" * 3), (9, "b\nc\n\nd"),
+]
+
+
+def test_line_dedup_matches_sql(spark):
+    docs = frame(spark, LINES)
+    got = line_dedup.line_dedup(spark, docs)
+    assert set(docs.columns) - {"rid"} <= set(got.columns)
+    from pyspark.sql import functions as F
+
+    got = got.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", LINES)
+    assert tuples(got) == sorted(con.sql(line_dedup.ORACLE).fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_line_dedup_of_other_lengths(spark, n):
+    rnd = random.Random(n)
+    rows = [(i, "\n".join(rnd.choice("abc") for _ in range(rnd.randint(1, 14)))) for i in range(25)]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark, frame(spark, rows), min_lines=n).collect()}
+    seen = set()
+    for i, text in rows:
+        lines = text.split("\n")
+        gone = set()
+        for k in range(len(lines) - n + 1):
+            run = tuple(lines[k : k + n])
+            if run in seen:
+                gone.update(range(k, k + n))
+            seen.add(run)
+        assert got[i] == "\n".join(x for k, x in enumerate(lines) if k not in gone)
+
+
+def test_line_dedup_of_repeated_and_null_ids(spark):
+    line = "a line that is long enough to be deleted when it comes again, by itself"
+    got = line_dedup.line_dedup(spark, frame(spark, [(None, line), (1, line), (1, line)])).collect()
+    assert sorted((r.doc_id is None, r.n_removed) for r in got) == [(False, 0), (False, 1), (True, 1)]
+    assert line_dedup.line_dedup(spark, frame(spark, [])).count() == 0
+
+
+BENCH = [("i1", "One two three four five six seven eight nine ten eleven"), ("i2", "Only three words"), ("i3", None), ("i4", " .. "), ("i10", "two three FOUR five six seven eight nine ten eleven"), (None, "zzz")]
+
+
+def brute_hits(text, n=10):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    own, hit, items = words(text), set(), set()
+    for item, t in BENCH:
+        w = words(t)
+        for k in range(max(1, len(w) - n + 1) if w else 0):
+            win = w[k : k + n]
+            for p in range(len(own) - len(win) + 1):
+                if own[p : p + len(win)] == win:
+                    hit.update(range(p, p + len(win)))
+                    items.add("" if item is None else item)
+    return len(own), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)
+
+
+def test_decontaminate(spark):
+    texts = ["x one, two three four; five six seven eight nine ten eleven y", "only THREE words only three words", "three words", None, "", "École two three four five six seven eight nine ten eleven twelve", "a zzz b zzzz", "two three four five six seven eight nine ten"]
+    rows = list(enumerate(texts)) + [(1, texts[1])]
+    bench = spark.createDataFrame(BENCH, "item_id string, text string")
+    got = decontaminate.decontaminate(spark, frame(spark, rows), bench)
+    assert sorted((r.doc_id, *tuple(r)[1:6]) for r in got.collect()) == sorted((i, *brute_hits(t)) for i, t in rows)
+    spans = {r.doc_id: r.spans for r in got.collect()}
+    a, z = map(int, spans[5].split(":"))
+    assert texts[5][a:z] == "two three four five six seven eight nine ten eleven"
+    kept = decontaminate.decontaminate(spark, frame(spark, rows), bench, keep=True)
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 7] and kept.columns == frame(spark, []).columns
+    none = decontaminate.decontaminate(spark, frame(spark, rows), bench.where("false"))
+    assert not any(r.contaminated for r in none.collect())
+
+
+def test_decontaminate_in_blocks(spark, monkeypatch):
+    whole = decontaminate.scan_texts([t for _, t in BENCH] * 2, decontaminate._automata("a", [(i or "", t) for i, t in BENCH if t], 10), [i or "" for i, t in BENCH if t])
+    monkeypatch.setattr(decontaminate, "WINDOWS", 1)
+    parts = decontaminate.scan_texts([t for _, t in BENCH] * 2, decontaminate._automata("b", [(i or "", t) for i, t in BENCH if t], 10), [i or "" for i, t in BENCH if t])
+    assert whole == parts
+
+
+def brute_secrets(text):
+    text = text or ""
+    kinds = [
+        ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, lambda m: len(m[2]) >= 6),
+        ("access", r"AKIA[A-Z0-9]+", 0, lambda m: len(m[0]) >= 20),
+        ("hex", r"[0-9a-f]+", 0, lambda m: len(m[0]) >= 24),
+    ]
+    found = [(m.start(), k, m.end()) for k, (_, p, f, ok) in enumerate(kinds) for m in re.finditer(p, text, f) if ok(m)]
+    say = ",".join(f"{kinds[k][0]}:{s}:{e}" for s, k, e in sorted(found))
+    return *(sum(k == i for _, k, _ in found) for i in range(3)), hashlib.sha256(say.encode()).hexdigest()
+
+
+def test_secrets_base(spark):
+    rnd = random.Random(2)
+    bits = ["password", "PassWD", "api_key", "apikey", "token", "secret", "ſecret", "toKen", '"', "'", " ", "  ", ":", "=", "abc", "abcdef", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef00", "é", "\n", "Zz9+/="]
+    rows = [(i, "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25)))) for i in range(400)] + [(1000, None), (1001, "")]
+    got = {r.doc_id: tuple(r)[1:5] for r in secrets.scan_secrets(frame(spark, rows)).collect()}
+    assert got == {i: brute_secrets(t) for i, t in rows}
+    assert sum(v[0] + v[1] + v[2] for v in got.values()) > 50
+
+
+@pytest.mark.parametrize(
+    ("text", "literal"),
+    [
+        ('BASE = "qT7rX2mLp9Zs4kWd"\nclient_credential = BASE\n', "qT7rX2mLp9Zs4kWd"),
+        ('  privateKey: "hR83kdPq0Zx7Lm2V"\n', "hR83kdPq0Zx7Lm2V"),
+        ('config["db_passphrase"] = \'u8Gh2Kq9Lw3Zt6Rb\'', "u8Gh2Kq9Lw3Zt6Rb"),
+        ('auth_session_key => "Vb5nT1yPz8Qw3Ec6"', "Vb5nT1yPz8Qw3Ec6"),
+    ],
+)
+def test_secrets_lexed(text, literal):
+    spans = [s.split(":") for s in secrets.scan(text)[4].split(",") if s]
+    assert any(k == "lex" and text[int(a) : int(z)] == literal for k, a, z in spans)
+    assert literal not in secrets.redact(text)
+
+
+@pytest.mark.parametrize("text", ['title = "a quite ordinary heading"', "pwd = None", 'privateKey: "<your key here>"', "see https://x.org/a=b: c", "credential: example", ""])
+def test_secrets_not_lexed(text):
+    assert "lex" not in secrets.scan(text)[4]
+
+
+def test_secret_scan_is_linear():
+    import time
+
+    t = time.time()
+    secrets.scan('a="' * 20000 + "=" * 20000 + "x:" * 20000)
+    assert time.time() - t < 20

@@ -104,8 +104,9 @@ def place(splitters: tuple[np.ndarray, ...], keys: tuple[np.ndarray, ...]) -> np
     if len(keys) == 1:
         return high
     at = np.flatnonzero(high > low)
-    for first in np.unique(low[at]):
-        some = at[low[at] == first]
+    tied = low[at]
+    for first in np.unique(tied):
+        some = at[tied == first]
         z = high[some[0]]
         low[some] = first + place(tuple(s[first:z] for s in splitters[1:]), tuple(k[some] for k in keys[1:]))
     return low
