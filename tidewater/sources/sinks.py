@@ -122,7 +122,7 @@ def map_with_updating(path: str, update: Callable[[Any, dict], Any], schema: str
             held = before[value].iloc[0] if len(before) else None
             for row in (rows.sort_values(order) if order else rows).to_dict("records"):
                 held = update(held, row)
-            return pd.DataFrame({key: [k[0]], value: [held]} if held is not None else {key: [], value: []})[fields]
+            return pd.DataFrame({key: [k[0]], value: [held]} if held is not None else {key: [], value: []}, dtype=object)[fields]
 
         _replace(now.cogroup(df.groupBy(key)).applyInPandas(run, schema), path)
 

@@ -346,7 +346,7 @@ def items_distributed(*parts: Sequence[Any], schema: str) -> Source:
     """Each list in a partition of its own."""
 
     def read(spark: SparkSession) -> DataFrame:
-        made = [items(p, schema).read(spark).coalesce(1) for p in parts]
+        made = [items(p, schema).read(spark).repartition(1) for p in parts]
         out = made[0]
         for df in made[1:]:
             out = out.union(df)

@@ -35,10 +35,10 @@ def _processor(names, ts, create, fn, fields, ttl_ms, on_evict):
         def _evict(self, key, state, touched) -> list[dict]:
             return _rows(on_evict(state, key, touched + ttl_ms)) if on_evict else []
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             held = self.state.get() if self.state.exists() else None
             state, touched = (pickle.loads(held[0]), held[1]) if held else (create(), None)
-            mark = timer_values.getCurrentWatermarkInMs()
+            mark = timerValues.getCurrentWatermarkInMs()
             out: list[dict] = []
             batch = pd.concat(list(rows), ignore_index=True).sort_values(ts, kind="stable")
             for row in batch.to_dict("records"):
@@ -58,7 +58,7 @@ def _processor(names, ts, create, fn, fields, ttl_ms, on_evict):
                     self.handle.registerTimer(touched + ttl_ms)
             yield self._frame(out)
 
-        def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             held = self.state.get() if self.state.exists() else None
             self.state.clear()
             yield self._frame(self._evict(key, pickle.loads(held[0]), held[1]) if held else [])
