@@ -113,6 +113,21 @@ def test_file_sink_writes_once(spark, tmp_path):
     assert [r.k for r in spark.read.json(out).collect()] == ["a"]
 
 
+def test_journal_from_start_or_from_now(spark, tmp_path):
+    import time
+
+    folder = str(tmp_path / "in")
+    put(folder, "1", [("a", 1)])
+    time.sleep(1.1)
+    read = lambda **o: Pipeline(spark).read_from(sources.journal(folder, "k string, s long", **o)).without_timestamps()
+    every, late, few = read(), read(from_start=False), read(predicate="s > 1", projection=["k"])
+    put(folder, "2", [("b", 2)])
+    for stage, want in ((every, ["a", "b"]), (late, ["b"]), (few, ["b"])):
+        rows = []
+        drain(sinks.start(stage.df, lambda df, _, rows=rows: rows.extend(r.k for r in df.collect()), mode="append"))
+        assert sorted(rows) == want
+
+
 def test_custom_stream_source(spark, tmp_path):
     def fill(context, offset):
         at = offset["at"]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,14 +57,14 @@ def list_(items: Sequence[Any], schema: str) -> Source:
 def journal(path: str, schema: str, *, predicate: str | None = None, projection: Sequence[str] | None = None, from_start: bool = True, max_files: int = 1000) -> Source:
     """A change feed: files appended to a folder (JSON lines; an ``op`` column says ADDED, UPDATED, REMOVED).
 
-    from_start=False begins with what comes after the stream starts.
+    from_start=False begins with files that are written from the making of the stream on.
     """
 
     def read(spark: SparkSession) -> DataFrame:
-        reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+        df = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(path)
         if not from_start:
-            reader = reader.option("latestFirst", "false").option("maxFileAge", "1ms")
-        df = reader.json(path)
+            now = datetime.now(UTC)
+            df = df.where(F.col("_metadata.file_modification_time") >= F.lit(now)).select(*df.columns)
         df = df.where(predicate) if predicate else df
         return df.selectExpr(*projection) if projection else df
 
