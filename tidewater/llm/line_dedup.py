@@ -11,8 +11,8 @@ A line is deleted if it lies in a run of at least ``MIN_LINES`` lines that occur
 ``MIN_CHARS`` characters that does. Runs of any greater length are covered by the runs of MIN_LINES in them, all of which
 repeat, so what goes is the maximal runs.
 
-Scale: lines travel as hashes; groups are pre-aggregated, and the joins back to lines are ones that adaptive execution
-can split, as a line may be in a third of all texts. Texts shuffle once, to meet their deleted lines.
+Scale: lines travel as hashes; groups are pre-aggregated, and joined back to lines in ``SALTS`` parts each (joins that adaptive execution
+can split further), as a line may be in a third of all texts. Texts shuffle once, to meet their deleted lines.
 
 Defined results: null text stays null and has no lines; blank lines are kept and count for nothing; of repeated rows
 the first stays; null ids come last; other columns stay as they are. Ids must be integers.
@@ -31,13 +31,16 @@ from tidewater.llm.common import BLANKS, Scratch, numbered
 
 MIN_LINES = 3
 MIN_CHARS = 60
+#: Parts of a name's rows in the join that gives them the name.
+SALTS = 8
 _PLACE = ("ord", "rid", "q")
 
 
 def _named(rows: DataFrame, key: list[str]) -> DataFrame:
     """rows of repeated keys with the place of the key's first row as (a, b), and whether theirs is a later one."""
     first = rows.groupBy(*key).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("times")).where(F.col("times") > 1)
-    joined = rows.join(first.select(*key, F.col("first.rid").alias("fa"), F.col("first.q").alias("fb")), key)
+    names = first.select(*key, F.col("first.rid").alias("fa"), F.col("first.q").alias("fb"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    joined = rows.withColumn("salt", F.pmod(F.xxhash64("rid", "q"), F.lit(SALTS)).cast("int")).join(names, [*key, "salt"])
     return joined.select(
         *[c for c in rows.columns if c not in ("a", "b", "later", *key)],
         F.col("fa").alias("a"),
