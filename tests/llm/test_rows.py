@@ -228,6 +228,19 @@ def test_decontaminate(spark):
     assert not any(r.contaminated for r in none.collect())
 
 
+def test_decontaminate_in_slices(spark, monkeypatch):
+    texts = ["x one two three four five six seven eight nine ten eleven y only three words", None, "", "zzz", "two three four five six seven eight nine ten"]
+    rows = [*enumerate(texts), (0, texts[0]), (None, texts[3])]
+    bench = spark.createDataFrame(BENCH, "item_id string, text string")
+    docs = frame(spark, rows).drop("rid")
+    whole = tuples(decontaminate.decontaminate(spark, docs, bench))
+    kept = sorted(r.doc_id for r in decontaminate.decontaminate(spark, docs, bench, keep=True).collect())
+    monkeypatch.setattr(decontaminate, "MAX_BYTES", 60)
+    assert tuples(decontaminate.decontaminate(spark, docs, bench)) == whole
+    parts = decontaminate.decontaminate(spark, docs, bench, keep=True)
+    assert sorted(r.doc_id for r in parts.collect()) == kept and parts.columns == docs.columns
+
+
 def test_decontaminate_in_blocks(spark, monkeypatch):
     whole = decontaminate.scan_texts([t for _, t in BENCH] * 2, decontaminate._automata("a", [(i or "", t) for i, t in BENCH if t], 10), [i or "" for i, t in BENCH if t])
     monkeypatch.setattr(decontaminate, "WINDOWS", 1)

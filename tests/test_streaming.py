@@ -59,6 +59,25 @@ def test_early_results_update(spark, tmp_path):
     assert seen == [1, 3]
 
 
+def test_early_and_final_results(spark, tmp_path):
+    from tidewater.streaming.early import start_with_early_results
+
+    folder = str(tmp_path / "in")
+    put(folder, "1", [("a", 1)])
+    stage = events(spark, folder).grouping_key("k").window(windows.tumbling(10_000)).aggregate(n=A.counting())
+    seen = []
+    queries = start_with_early_results(stage, lambda df: seen.extend((r.is_early, r.k, r.n) for r in df.collect()), str(tmp_path / "c"), 200)
+    try:
+        for name, rows in (("2", [("a", 2)]), ("3", [("b", 30)])):
+            queries.process_all()
+            put(folder, name, rows)
+        queries.process_all()
+    finally:
+        queries.stop()
+    assert [x for x in seen if not x[0]] == [(False, "a", 2)]
+    assert {(True, "a", 1), (True, "a", 2), (True, "b", 1)} <= set(seen)
+
+
 def test_sessions_on_a_stream(spark, tmp_path):
     folder = str(tmp_path / "in")
     put(folder, "1", [("a", 1), ("a", 11), ("a", 13)])

@@ -93,6 +93,16 @@ def numbered(scratch: Scratch, docs: DataFrame, id_col: str) -> tuple[DataFrame,
     return docs.withColumn("ord", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))), n
 
 
+def salted_join(rows: DataFrame, one: DataFrame, keys: list[str], spread: list[str], salts: int) -> DataFrame:
+    """Inner join of rows with the one row that each key has in ``one``; a key's rows are dealt to ``salts`` tasks by the columns in spread.
+
+    For keys that may hold a large part of all rows, where ``one`` is aggregated by the keys: adaptive execution doesn't split such a join.
+    """
+    each = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    return dealt.join(each, [*keys, "__salt"]).drop("__salt")
+
+
 def others(df: DataFrame, taken: list[str]) -> list[Column]:
     """The columns of df whose names, in any case, are not among those that an operator adds."""
     own = {c.lower() for c in taken}

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch
+from tidewater.llm.common import Scratch, salted_join
+
+#: Parts of a node's links: the centre of a star may have a large part of all of them.
+SALTS = 16
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -13,7 +16,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     if large:
         links = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = links.join(least, "u")
+    joined = salted_join(links, least, ["u"], ["v"], SALTS)
     if large:
         return joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     own = least.select("u", F.col("m").alias("v"))
@@ -25,7 +28,7 @@ def components(scratch: Scratch, links: DataFrame, name: str = "components") ->
     """(u, v) for each node u but the smallest of its component, with v that smallest node.
 
     links has longs u, v; loops are left out. Each round is a table in the shared folder; rounds end when a
-    round changes nothing. Neighbour minima are pre-aggregated, and the joins can be split.
+    round changes nothing. Neighbour minima are pre-aggregated, and joined back to a node's links in SALTS parts.
     """
     now = links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = scratch.table(now, f"{name}-0")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WORD_BYTES, word_bytes
+from tidewater.llm.common import WORD_BYTES, Scratch, numbered, word_bytes
 
 N = 10
 WINDOWS = 50_000
@@ -65,10 +65,12 @@ def _code_points(raw: bytes, at: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum((b & 0xC0) != 0x80)))[at]
 
 
-def scan_texts(texts: list[str | None], automata, ids: list[str]) -> list[tuple]:
-    """(n_words, n_hit, n_items, items_sha256, contaminated, spans) of each text."""
-    norm = [(t or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES) for t in texts]
-    words = [b.split() for b in norm]
+def normalised(texts: list[str | None]) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES) for t in texts]
+
+
+def find_hits(words: list[list[bytes]], automata) -> dict[int, tuple[np.ndarray, set[int]]]:
+    """Of each text that something hits: which of its words are hit, and by which items."""
     lines = [f" {b' '.join(w).decode('latin-1')} " if w else "" for w in words]
     found: dict[int, tuple[np.ndarray, set[int]]] = {}
     for auto in automata:
@@ -82,32 +84,47 @@ def scan_texts(texts: list[str | None], automata, ids: list[str]) -> list[tuple]
                 steps[last - size] += 1
                 steps[last] -= 1
                 owners.update(who)
-    empty = hashlib.sha256(b"").hexdigest()
+    return {row: (np.cumsum(steps)[:-1] > 0, owners) for row, (steps, owners) in found.items()}
+
+
+_NOTHING = hashlib.sha256(b"").hexdigest()
+
+
+def report(text: str | None, norm: bytes, n_words: int, hit: np.ndarray | None, names: set[str], n_items: int) -> tuple:
+    """(n_words, n_hit, n_items, items_sha256, contaminated, spans) of a text."""
+    if hit is None:
+        return n_words, 0, 0, _NOTHING, False, ""
+    solid = np.frombuffer(norm, np.uint8) != 32
+    edge = np.diff(np.concatenate(([0], solid.view(np.int8), [0])))
+    begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    run = np.diff(np.concatenate(([0], hit.view(np.int8), [0])))
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    first = _code_points(raw, begins[np.flatnonzero(run == 1)])
+    last = _code_points(raw, ends[np.flatnonzero(run == -1) - 1])
+    digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+    return n_words, int(hit.sum()), n_items, digest, True, ",".join(f"{a}:{z}" for a, z in zip(first, last, strict=True))
+
+
+def scan_texts(texts: list[str | None], automata, ids: list[str]) -> list[tuple]:
+    """report() of each text; ids are those of the items, by number."""
+    norm = normalised(texts)
+    words = [b.split() for b in norm]
+    found = find_hits(words, automata)
     out = []
     for row, w in enumerate(words):
-        if row not in found:
-            out.append((len(w), 0, 0, empty, False, ""))
-            continue
-        steps, owners = found[row]
-        hit = np.cumsum(steps)[:-1] > 0
-        b = np.frombuffer(norm[row], np.uint8) != 32
-        edge = np.diff(np.concatenate(([0], b.view(np.int8), [0])))
-        begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        run = np.diff(np.concatenate(([0], hit.view(np.int8), [0])))
-        raw = (texts[row] or "").encode("utf-8", "surrogatepass")
-        first = _code_points(raw, begins[np.flatnonzero(run == 1)])
-        last = _code_points(raw, ends[np.flatnonzero(run == -1) - 1])
-        names = sorted({ids[i] for i in owners})
-        out.append((len(w), int(hit.sum()), len(owners), hashlib.sha256(",".join(names).encode()).hexdigest(), True, ",".join(f"{a}:{z}" for a, z in zip(first, last, strict=True))))
+        hit, owners = found.get(row, (None, set()))
+        names = {ids[i] for i in owners}
+        out.append(report(texts[row], norm[row], len(w), hit, names, len(names)))
     return out
 
 
-def _items(benchmark: DataFrame, item_col: str, text_col: str) -> list[tuple[str, str]]:
-    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).head()[0]
-    if size > MAX_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes of text, over {MAX_BYTES}: split it")
-    return sorted({("" if r.i is None else r.i, r.t) for r in items.collect()})
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string())
+_NAMES = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
+
+
+def _reported(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 6
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True))], _NAMES)
 
 
 def decontaminate(
@@ -115,10 +132,11 @@ def decontaminate(
 ) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and spans (hit runs, start:end in
     code points of the original). keep: the rows of docs that nothing hits, as they are, instead."""
-    by: dict[str, list[str]] = {}
-    for i, t in _items(benchmark, item_col, text_col):
-        by.setdefault(i, []).append(t)
-    pairs = [(i, t) for i, ts in by.items() for t in ts]
+    items = benchmark.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).distinct()
+    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).head()[0]
+    if size > MAX_BYTES:
+        return _in_slices(spark, docs, items, size // MAX_BYTES + 1, n, id_col, text_col, keep)
+    pairs = sorted((r.i, r.t) for r in items.collect())
     ids = [i for i, _ in pairs]
     key = hashlib.sha256(repr((n, pairs)).encode()).hexdigest()
     held = spark.sparkContext.broadcast(pairs)
@@ -126,15 +144,7 @@ def decontaminate(
     def run(batches):
         for batch in batches:
             rows = scan_texts(batch.column(text_col).to_pylist(), _automata(key, held.value, n), ids)
-            if keep:
-                yield batch.filter(pa.array([not r[4] for r in rows], pa.bool_()))
-                continue
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
-            )
+            yield batch.filter(pa.array([not r[4] for r in rows], pa.bool_())) if keep else _reported(batch.column(id_col), rows)
 
     if keep:
         return docs.mapInArrow(run, docs.schema)
@@ -142,5 +152,55 @@ def decontaminate(
     return slim.mapInArrow(run, f"doc_id {slim.schema[0].dataType.simpleString()}, {_RESULT}")
 
 
+def _in_slices(spark, docs: DataFrame, items: DataFrame, slices: int, n: int, id_col: str, text_col: str, keep: bool) -> DataFrame:
+    """decontaminate() for a benchmark too large for one broadcast. Ids must be integers here."""
+    scratch = Scratch(spark, "bench")
+    plain = docs.drop("rid", "ord", "__hits", "__items")
+    rows, _ = numbered(scratch, plain, id_col)
+    found = None
+    for k in range(slices):
+        pairs = sorted((r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k).collect())
+        key = hashlib.sha256(repr((n, pairs)).encode()).hexdigest()
+        part = rows.select("rid", F.col(text_col).alias("text")).mapInArrow(_hits_of(key, spark.sparkContext.broadcast(pairs), n), "rid long, hits binary, items array<string>")
+        part = scratch.table(part, f"slice{k}")
+        found = part if found is None else found.unionByName(part)
+    by_row = found.groupBy("rid").agg(F.collect_list("hits").alias("__hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("__items"))
+    joined = rows.join(by_row, "rid", "left")
+    if keep:
+        return joined.where(F.col("__hits").isNull()).select(*[f"`{c}`" for c in docs.columns if c in plain.columns])
+
+    def run(batches):
+        for batch in batches:
+            texts, hits, names = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            out = []
+            for text, norm, runs, own in zip(texts, normalised(texts), hits, names, strict=True):
+                n_words = len(norm.split())
+                hit = np.logical_or.reduce([np.unpackbits(np.frombuffer(r, np.uint8), count=n_words).view(bool) for r in runs]) if runs else None
+                out.append(report(text, norm, n_words, hit, set(own or ()), len(own or ())))
+            yield _reported(batch.column(0), out)
+
+    slim = joined.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "__hits", "__items")
+    return slim.mapInArrow(run, f"doc_id {slim.schema[0].dataType.simpleString()}, {_RESULT}")
+
+
+def _hits_of(key: str, held, n: int):
+    def run(batches):
+        for batch in batches:
+            words = [b.split() for b in normalised(batch.column(1).to_pylist())]
+            found = find_hits(words, _automata(key, held.value, n))
+            rid = batch.column(0).to_pylist()
+            rows = sorted(found)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([rid[r] for r in rows], pa.int64()),
+                    pa.array([np.packbits(found[r][0]).tobytes() for r in rows], pa.binary()),
+                    pa.array([sorted({held.value[i][0] for i in found[r][1]}) for r in rows], pa.list_(pa.string())),
+                ],
+                ["rid", "hits", "items"],
+            )
+
+    return run
+
+
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
     return decontaminate(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

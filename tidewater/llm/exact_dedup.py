@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import BLANKS, Scratch, mix64
+from tidewater.llm.common import BLANKS, Scratch, mix64, salted_join
 
 BITS_PER_ROW = 16
 MIN_BITS = 1 << 20
@@ -132,8 +132,7 @@ def exact_dedup(spark, docs: DataFrame, id_col: str = "doc_id", text_col: str =
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     groups = again.groupBy("text_sha256").agg(best.alias("best"), F.count("*").alias("group_size"))
     keepers = groups.select("text_sha256", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
-    keepers = keepers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = again.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(keepers, ["text_sha256", "salt"])
+    joined = salted_join(again, keepers, ["text_sha256"], ["row"], SALTS)
     return unique.unionByName(
         joined.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
     )

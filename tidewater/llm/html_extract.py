@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch
+from tidewater.llm.common import Scratch, salted_join
 
 SUPPORT = 0.9
 MIN_PAGES = 5
@@ -237,7 +237,7 @@ def deduce_templates(spark, pages: DataFrame, page_col: str = "page_id", url_col
     )
     sums = scratch.table(sums.where((F.col("n_pages") > 0) | (F.col("pages") >= MIN_PAGES)), "sums")
     hosts = sums.where((F.col("n_pages") >= MIN_PAGES) & (F.col("token") == 0)).select("host", F.col("n_pages").alias("of"))
-    common = sums.where(F.col("token") != 0).join(hosts, "host").where(F.col("pages") >= SUPPORT * F.col("of"))
+    common = salted_join(sums.where(F.col("token") != 0), hosts, ["host"], ["token"], SALTS).where(F.col("pages") >= SUPPORT * F.col("of"))
     classes = common.groupBy("host", "pages", "vector").agg(F.min("token").alias("class"))
     return scratch.table(
         common.join(classes, ["host", "pages", "vector"]).select("host", "token", "class", (F.col("place") / F.col("pages")).alias("place")), "templates"

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import BLANKS, Scratch, numbered
+from tidewater.llm.common import BLANKS, Scratch, numbered, salted_join
 
 MIN_LINES = 3
 MIN_CHARS = 60
@@ -39,8 +39,7 @@ _PLACE = ("ord", "rid", "q")
 def _named(rows: DataFrame, key: list[str]) -> DataFrame:
     """rows of repeated keys with the place of the key's first row as (a, b), and whether theirs is a later one."""
     first = rows.groupBy(*key).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("times")).where(F.col("times") > 1)
-    names = first.select(*key, F.col("first.rid").alias("fa"), F.col("first.q").alias("fb"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = rows.withColumn("salt", F.pmod(F.xxhash64("rid", "q"), F.lit(SALTS)).cast("int")).join(names, [*key, "salt"])
+    joined = salted_join(rows, first.select(*key, F.col("first.rid").alias("fa"), F.col("first.q").alias("fb")), key, ["rid", "q"], SALTS)
     return joined.select(
         *[c for c in rows.columns if c not in ("a", "b", "later", *key)],
         F.col("fa").alias("a"),

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WORD_BYTES, Scratch, mix64, numbered
+from tidewater.llm.common import WORD_BYTES, Scratch, mix64, numbered, salted_join
 from tidewater.llm.components import components
 from tidewater.llm.suffix_dedup import Hashes
 
@@ -46,6 +46,8 @@ HEAVY = 200
 BLOCK = 512
 #: Rows of small buckets that a task takes together.
 TOGETHER = 4000
+#: Parts of a bucket or class in joins with its leader or head.
+SALTS = 16
 PIECE = 1 << 20
 
 _U = np.uint64
@@ -380,7 +382,7 @@ def classes_of(spark, scratch: Scratch, rows: DataFrame, n: int) -> DataFrame:
 
     lead = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("rid", "key").alias("o"), "rid")).alias("lead"), F.count("*").alias("n")).where(F.col("n") > 1)
     lead = lead.select("key", F.col("lead.rid").alias("v"))
-    pairs = bands.join(lead, "key").where(F.col("rid") != F.col("v")).select(F.greatest("rid", "v").alias("u"), F.least("rid", "v").alias("v")).distinct()
+    pairs = salted_join(bands, lead, ["key"], ["rid"], SALTS).where(F.col("rid") != F.col("v")).select(F.greatest("rid", "v").alias("u"), F.least("rid", "v").alias("v")).distinct()
 
     def sampled(pairs: DataFrame) -> DataFrame:
         a, b = (first.select(F.col("rid").alias(c), F.col("samples").alias("s" + c)) for c in "uv")
@@ -417,7 +419,7 @@ def classes_of(spark, scratch: Scratch, rows: DataFrame, n: int) -> DataFrame:
     named = named.join(label.select(F.col("u").alias("r"), F.col("v").alias("l")), "r", "left").withColumn("l", F.coalesce("l", "r"))
     named = scratch.table(named, "labels")
     heads = named.groupBy("l").agg(F.min(F.struct("o", "r")).alias("h"), F.sum("copies").alias("class_size"))
-    of_group = named.join(heads, "l").select("f1", "f2", F.col("h.r").alias("head"), F.col("h.o").alias("head_ord"), "class_size")
+    of_group = salted_join(named, heads, ["l"], ["r"], SALTS).select("f1", "f2", F.col("h.r").alias("head"), F.col("h.o").alias("head_ord"), "class_size")
     member = sketch.where("some").select("ord", "rid", "f1", "f2").join(of_group, ["f1", "f2"]).select("ord", "rid", "head", "head_ord", "class_size")
     alone = sketch.where("NOT some").select("ord", "rid", F.col("rid").alias("head"), F.col("ord").alias("head_ord"), F.lit(1).cast("long").alias("class_size"))
     null_id = (1 << 63) - 1
