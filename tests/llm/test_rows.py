@@ -135,6 +135,26 @@ def test_suffix_dedup_wide_groups_and_pieces(spark, monkeypatch):
     assert tuples(suffix_dedup.remove_repeats(spark, frame(spark, rows))) == brute_repeats(rows)
 
 
+def of_sql(sql, columns, **tables):
+    """Rows of a query in DuckDB over tables of (id, text)."""
+    con = duckdb.connect()
+    for name, (key, kind, rows) in tables.items():
+        con.execute(f"CREATE TABLE {name} ({key} {kind}, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    rel = con.sql(sql)
+    order = [rel.columns.index(c) for c in columns]
+    return sorted((tuple(x[i] for i in order) for x in rel.fetchall()), key=repr)
+
+
+def test_suffix_dedup_sql_is_brute_force():
+    rnd = random.Random(9)
+    passage = "".join(rnd.choice(["ab", "é", "zz", " "]) for _ in range(120))
+    rows = [(i, rnd.choice(["", "y" * 130, passage]) + "".join(rnd.choice("abé ") for _ in range(40)) + passage[rnd.randint(0, 9) :] * rnd.randint(0, 2)) for i in range(25)]
+    rows += [(30, None), (31, ""), (32, "q" * 99), (33, rows[3][1] * 8), (34, rows[3][1])]
+    got = of_sql(suffix_dedup.ORACLE, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], documents=("doc_id", "BIGINT", rows))
+    assert got == brute_repeats(rows)
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup.remove_repeats(spark, frame(spark, [])).collect() == []
 
@@ -228,6 +248,16 @@ def test_decontaminate(spark):
     assert not any(r.contaminated for r in none.collect())
 
 
+def test_decontaminate_sql_is_brute_force():
+    rnd = random.Random(4)
+    bits = ["one", "Two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "only three words", "zzz", "É", "x"]
+    texts = [rnd.choice(", ;-").join(rnd.choices(bits, k=rnd.randint(0, 30))) for _ in range(60)] + [t for _, t in BENCH if t] + [None, ""]
+    rows = list(enumerate(texts))
+    got = of_sql(decontaminate.ORACLE, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"], documents=("doc_id", "BIGINT", rows), benchmark=("item_id", "VARCHAR", BENCH))
+    assert got == sorted(((i, *brute_hits(t)) for i, t in rows), key=repr)
+    assert sum(r[-1] for r in got) > 10
+
+
 def test_decontaminate_in_slices(spark, monkeypatch):
     texts = ["x one two three four five six seven eight nine ten eleven y only three words", None, "", "zzz", "two three four five six seven eight nine ten"]
     rows = [*enumerate(texts), (0, texts[0]), (None, texts[3])]

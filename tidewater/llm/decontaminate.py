@@ -203,4 +203,36 @@ def _hits_of(key: str, held, n: int):
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return decontaminate(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("spans")
+
+
+def oracle(n: int = N, docs: str = "documents", items: str = "benchmark") -> str:
+    """The contract's rows in SQL, for documents without repeated ids: windows meet by their text, in as many lengths as items need."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+    def grams(table: str, key: str, of: str) -> str:
+        ahead = ", ".join(f"lead(w, {k}) OVER ahead AS w{k}" for k in range(1, n))
+        run = lambda k: " || ' ' || ".join(["w", *(f"w{i}" for i in range(1, k))])
+        sizes = " UNION ALL ".join(f"SELECT {key}, i, {k} AS k, {run(k)} AS g FROM {table}_ahead WHERE {of.format(k=k)}" for k in range(1, n + 1))
+        return f"{table}_ahead AS (SELECT *, {ahead} FROM {table}_words WINDOW ahead AS (PARTITION BY {key} ORDER BY i)),\n{table} AS ({sizes})"
+
+    last = f"w{n - 1}" if n > 1 else "w"
+    return f"""
+WITH doc_lists AS (SELECT doc_id, {words} AS ws FROM {docs}),
+doc_words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM doc_lists),
+item_lists AS (SELECT row_number() OVER () AS b, coalesce(item_id::VARCHAR, '') AS item, {words} AS ws FROM {items}),
+item_words AS (SELECT b, unnest(ws) AS w, unnest(range(len(ws))) AS i, len(ws) AS size FROM item_lists),
+{grams("item", "b", f"CASE WHEN {{k}} = {n} THEN {last} IS NOT NULL ELSE size = {{k}} AND i = 0 END")},
+wanted AS (SELECT DISTINCT k, g, item FROM item JOIN item_lists USING (b)),
+{grams("doc", "doc_id", "{k} IN (SELECT k FROM wanted)")},
+hits AS (SELECT doc_id, i, k, item FROM doc JOIN wanted USING (k, g)),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS j FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY encode(item)) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM doc_lists LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+ORACLE = oracle()

@@ -17,5 +17,7 @@ QUERIES = {
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
+    "op5_decontaminate": decontaminate.ORACLE,
+    "op9_suffix_dedup": suffix_dedup.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }

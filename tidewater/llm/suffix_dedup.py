@@ -41,7 +41,9 @@ PIECE = 1 << 20
 BUCKET_BYTES = 8 << 20
 BUCKET_WINDOWS = 400_000
 MAX_BUCKETS = 1 << 20
-SAMPLE_ROWS = 1500
+#: Texts of which the splitters' sample takes the keys: one in SAMPLE_ONE_IN, within these bounds.
+SAMPLE_ONE_IN = 100
+SAMPLE_ROWS = (1500, 25_000)
 WIDE = 1000
 
 _U = np.uint64
@@ -438,8 +440,8 @@ def _sampled(batches):
 
 
 def _sampled_keys(rows: DataFrame, n_rows: int):
-    """(keys of about SAMPLE_ROWS texts in order, buckets of about BUCKET_BYTES of text for all of them)."""
-    share = min(1.0, SAMPLE_ROWS / max(n_rows, 1))
+    """(keys of the sampled texts in order, buckets of about BUCKET_BYTES of text for all of them)."""
+    share = min(1.0, min(max(n_rows / SAMPLE_ONE_IN, SAMPLE_ROWS[0]), SAMPLE_ROWS[1]) / max(n_rows, 1))
     got = rows.sample(share, seed=11).mapInArrow(_sampled, "size long, n long, data binary").collect()
     n = sum(r.n for r in got)
     size = sum(r.size for r in got) / max(n, 1) * n_rows
@@ -483,3 +485,26 @@ def remove_repeats(spark, docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def oracle(length: int = LENGTH, table: str = "documents") -> str:
+    """The contract's rows in SQL, for ids without nulls or repeats: every window of every text, by its MD5. Texts are cut in blocks first, as
+    a substring's price grows with its place."""
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM {table}),
+b AS (SELECT doc_id, b, substr(x, 2 * b + 1, {2 * (500 + length - 1)}) AS y FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - {length - 1}, 500)) AS b FROM d)),
+w AS (SELECT doc_id, b + q AS p, md5_number(substr(y, 2 * q + 1, {2 * length})) AS g FROM (SELECT doc_id, b, y, unnest(range(0, len(y) // 2 - {length - 1})) AS q FROM b)),
+a AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS nth FROM w) WHERE nth > 1),
+r AS (SELECT doc_id, p, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {length}, -1) AS starts FROM a),
+k AS (SELECT doc_id, p, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM r),
+s AS (SELECT doc_id, min(p) AS lo, max(p) + {length} AS hi FROM k GROUP BY doc_id, run),
+e AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM s),
+t AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(substr(x, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS head
+  FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
+ORACLE = oracle()
