@@ -103,6 +103,18 @@ def salted_join(rows: DataFrame, one: DataFrame, keys: list[str], spread: list[s
     return dealt.join(each, [*keys, "__salt"]).drop("__salt")
 
 
+def hot_join(rows: DataFrame, one: DataFrame, key: str, spread: list[str], salts: int, most: int) -> DataFrame:
+    """salted_join that deals out only keys of more than ``most`` rows, as ``n`` of one counts them; all others have one part.
+
+    The hot keys are broadcast: at most (rows / most) of them, so most should be a fixed share of the rows.
+    """
+    hot = one.where(F.col("n") > most).select(key, F.lit(True).alias("__hot"))
+    part = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0)
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", part).drop("__hot")
+    each = one.withColumn("__salt", F.explode(F.when(F.col("n") > most, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(each, [key, "__salt"]).drop("__salt", "n")
+
+
 def others(df: DataFrame, taken: list[str]) -> list[Column]:
     """The columns of df whose names, in any case, are not among those that an operator adds."""
     own = {c.lower() for c in taken}

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch, salted_join
+from tidewater.llm.common import Scratch, hot_join
 
 #: Parts of a node's links: the centre of a star may have a large part of all of them.
 SALTS = 16
+#: A node with more than one in so many of all links is such a centre.
+HOT_SHARE = 500
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+def _star(links: DataFrame, large: bool, most: int) -> DataFrame:
     """Every node's neighbours above it (large) or up to it (small) linked with the smallest neighbour."""
     if large:
         links = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = salted_join(links, least, ["u"], ["v"], SALTS)
+    least = links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    joined = hot_join(links, least, "u", ["v"], SALTS, most)
     if large:
         return joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     own = least.select("u", F.col("m").alias("v"))
@@ -28,16 +30,17 @@ def components(scratch: Scratch, links: DataFrame, name: str = "components") ->
     """(u, v) for each node u but the smallest of its component, with v that smallest node.
 
     links has longs u, v; loops are left out. Each round is a table in the shared folder; rounds end when a
-    round changes nothing. Neighbour minima are pre-aggregated, and joined back to a node's links in SALTS parts.
+    round changes nothing. Neighbour minima are pre-aggregated and joined back to the links, those of a node with a large share of them in SALTS parts.
     """
     now = links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = scratch.table(now, f"{name}-0")
-    mark = None
+    mark, n = None, now.count()
     for k in range(1, 100):
-        now = scratch.table(_star(_star(now, True), False), f"{name}-{k}")
+        most = n // HOT_SHARE  # a round's links are no more than those before it, twice as many with both directions
+        now = scratch.table(_star(_star(now, True, most), False, most), f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if new == mark:
             return now
-        mark = new
+        mark, n = new, new[0]
     raise RuntimeError("no end of rounds")
