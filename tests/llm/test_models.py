@@ -60,6 +60,31 @@ def test_near_classes(spark):
     assert minhash.keep_first(spark, df).count() == len(classes)
 
 
+def test_a_large_group_of_near_copies_does_not_weigh_down_its_members(spark):
+    """A third of over 2000 rows: a member with one word of 49 changed shares 40 of 50 shingles, 0.8 by plain counts."""
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(49)]
+    edited = [*base[:24], "other", *base[25:]]
+    rows = [(i, " ".join(base)) for i in range(799)] + [(799, " ".join(edited))]
+    rows += [(i, " ".join(f"u{rnd.randrange(10**9)}" for _ in range(30))) for i in range(800, 2400)]
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i < 800 else i for i in range(2400)}
+
+
+@pytest.mark.parametrize("n", [60, 2600])
+def test_common_shingles_are_counted_at_every_size(spark, n):
+    """Boilerplate on a fifth of unlike texts, and a third shingle on a twentieth."""
+    rnd = random.Random(n)
+    rows = []
+    for i in range(n):
+        words = [f"u{rnd.randrange(10**9)}" for _ in range(40)]
+        rows.append((i, " ".join(words + ["all rights belong to us"] * (i % 5 == 0) + ["rarely seen words of ours"] * (i % 20 == 1))))
+    weights = minhash.fit_weights(spark, spark.createDataFrame(rows, "rid long, text string"), n)
+    common = minhash.shingle_sets(["all rights belong to us"])[1]
+    assert weights.known.tolist() == common.tolist()
+    assert abs(weights.of(common)[0] - (np.log10((1 + n) / (1 + n / 5)) + 1)) < 1e-5
+
+
 def test_near_classes_without_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_classes(spark, none).collect() == []

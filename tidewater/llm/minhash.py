@@ -1,9 +1,10 @@
 """Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles.
 
 A text is a weighted set of shingles (5 words; a text of fewer words is one shingle; words as in the decontamination
-contract): times in the text by idf. Document frequencies are counted over all texts for the shingles that ``HEAVY`` of
-about ``SAMPLE_ROWS`` sampled texts have (a tenth: boilerplate, which then weighs less); any other weighs as if a tenth had it,
-so the texts of all but the largest groups of copies are compared as they stand.
+contract): times in the text by idf. A group of near copies by plain counts is one text for document frequencies, its first, so
+that its size says nothing about its members. The frequencies of all shingles that at least ``COMMON`` of these texts have
+(boilerplate, which weighs less) are counted exactly, whatever their number; any other weighs as if COMMON of them had it. Where there
+is no such shingle the groups by plain counts are the classes; else steps 1 to 4 run again with these weights.
 
 1. Texts with equal weighted sets are one class at once; the first stands for them (its set is the copies' too).
 2. Each representative gets ``SAMPLES`` weighted samples. For weighted Jaccard similarity J two texts agree in a sample with
@@ -41,8 +42,9 @@ BANDS = 10
 ROWS = 3
 SAMPLES = BANDS * ROWS
 AGREE = 14
-SAMPLE_ROWS = 2000
-HEAVY = 200
+COMMON = 0.1
+#: Texts that a task counts together to find common shingles.
+COUNTED = 2000
 BLOCK = 512
 #: Rows of small buckets that a task takes together.
 TOGETHER = 4000
@@ -208,20 +210,30 @@ def _batches(batch: pa.RecordBatch, rows: int = 2000):
         yield batch.slice(at, rows)
 
 
-def fit_weights(spark, rows: DataFrame, n: int) -> Weights:
-    """Frequencies over all texts of the shingles that HEAVY or more of about SAMPLE_ROWS texts have."""
-    share = int(1_000_000 * min(1.0, SAMPLE_ROWS / max(n, 1)))
-    sample = rows.where(F.pmod(F.xxhash64("rid", F.lit("idf")), F.lit(1_000_000)) < share)
+def _local(batches):
+    """The shingles that COMMON of some COUNTED texts have. One that COMMON of all have is among those of at least one such part."""
 
-    def each(batches):
-        for batch in batches:
-            for part in _batches(batch):
-                _, sh, _ = shingle_sets(part.column(0).to_pylist())
-                u, c = np.unique(sh, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], ["s", "n"])
+    def common(texts):
+        _, sh, _ = shingle_sets(texts)
+        u, c = np.unique(sh, return_counts=True)
+        u = u[c >= COMMON * len(texts) - 1e-6]
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64))], ["s"])
 
-    heavy = sample.select("text").mapInArrow(each, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY)
-    found = np.sort(np.array([r.s for r in heavy.collect()], np.int64).view(_U))  # at most SAMPLE_ROWS x words of a text / HEAVY
+    held: list[str] = []
+    for batch in batches:
+        for part in _batches(batch):
+            held += part.column(0).to_pylist()
+            if len(held) >= 2 * COUNTED:
+                yield common(held[:COUNTED])
+                held = held[COUNTED:]
+    if held:
+        yield common(held)
+
+
+def common_weights(spark, texts: DataFrame) -> Weights:
+    """Exact frequencies over all texts (one of each group) of the shingles that at least COMMON of them have."""
+    n = texts.count()
+    found = np.sort(np.array([r.s for r in texts.select("text").mapInArrow(_local, "s long").distinct().collect()], np.int64).view(_U))
     held = spark.sparkContext.broadcast(found)
 
     def count(batches):
@@ -230,15 +242,36 @@ def fit_weights(spark, rows: DataFrame, n: int) -> Weights:
         for batch in batches:
             for part in _batches(batch):
                 _, sh, _ = shingle_sets(part.column(0).to_pylist())
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, sh), len(known) - 1)
-                    sums += np.bincount(at[known[at] == sh], minlength=len(known))
-        yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(sums)], ["s", "n"])
+                at = np.minimum(np.searchsorted(known, sh), len(known) - 1)
+                sums += np.bincount(at[known[at] == sh], minlength=len(known))
+        some = sums > 0
+        yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(sums[some])], ["s", "n"])
 
-    counts = {}
+    rows = []
     if len(found):
-        counts = {r.s: r.n for r in rows.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()}
-    return Weights(found, np.array([counts[int(s)] for s in found.view(np.int64)], np.float64), n, HEAVY / SAMPLE_ROWS * n)
+        rows = texts.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON * n - 1e-6).collect()
+    return Weights(np.array([r.s for r in rows], np.int64).view(_U), np.array([r.n for r in rows], np.float64), n, COMMON * n)
+
+
+def fit_weights(spark, rows: DataFrame, n: int) -> Weights:
+    """The weights that near_classes finds for rows of rid and text."""
+    scratch = Scratch(spark, "idf")
+    rows, n = numbered(scratch, rows.select(rows["rid"].alias("doc_id"), "text"), "doc_id")
+    weights, _ = _fitted(spark, scratch, rows, n)
+    scratch.close()
+    return weights
+
+
+def _fitted(spark, scratch: Scratch, rows: DataFrame, n: int):
+    """Weights, and (sketch, groups, label) by plain counts."""
+    flat = Weights(np.zeros(0, _U), np.zeros(0), n, COMMON * n)
+    sketch, groups, label = _linked(spark, scratch, rows, flat)
+    first = groups.select(F.col("first.rid").alias("rid")).join(label.select(F.col("u").alias("rid"), F.col("v").alias("l")), "rid", "left")
+    heads = first.where(F.coalesce("l", "rid") == F.col("rid")).select("rid")
+    texts = scratch.table(rows.select("rid", "text").join(heads, "rid", "left_semi").select("text"), "heads")
+    weights = common_weights(spark, texts)
+    scratch.drop("heads")
+    return weights, (sketch, groups, label)
 
 
 def _sketched(held):
@@ -369,9 +402,31 @@ def near_classes(spark, docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
 def classes_of(spark, scratch: Scratch, rows: DataFrame, n: int) -> DataFrame:
     """near_classes for rows as numbered() returns them, with rid beside."""
-    ids = rows.select("doc_id", "ord", "rid")
+    plain = Scratch(spark, "plain")
+    weights, (sketch, groups, label) = _fitted(spark, plain, rows, n)
+    if len(weights.known):
+        plain.close()
+        sketch, groups, label = _linked(spark, scratch, rows, weights)
+
+    # copies get the class of their representative; then the smallest id of each class, by order
+    named = groups.select("f1", "f2", "copies", F.col("first.ord").alias("o"), F.col("first.rid").alias("r"))
+    named = named.join(label.select(F.col("u").alias("r"), F.col("v").alias("l")), "r", "left").withColumn("l", F.coalesce("l", "r"))
+    named = scratch.table(named, "labels")
+    heads = named.groupBy("l").agg(F.min(F.struct("o", "r")).alias("h"), F.sum("copies").alias("class_size"))
+    of_group = salted_join(named, heads, ["l"], ["r"], SALTS).select("f1", "f2", F.col("h.r").alias("head"), F.col("h.o").alias("head_ord"), "class_size")
+    member = sketch.where("some").select("ord", "rid", "f1", "f2").join(of_group, ["f1", "f2"]).select("ord", "rid", "head", "head_ord", "class_size")
+    alone = sketch.where("NOT some").select("ord", "rid", F.col("rid").alias("head"), F.col("ord").alias("head_ord"), F.lit(1).cast("long").alias("class_size"))
+    null_id = (1 << 63) - 1
+    back = lambda c: F.when(F.col(c) != null_id, F.col(c))
+    return member.unionByName(alone).select(
+        back("ord").alias("doc_id"), back("head_ord").alias("class_id"), "class_size", (F.col("rid") == F.col("head")).alias("kept"), "rid"
+    )
+
+
+def _linked(spark, scratch: Scratch, rows: DataFrame, weights: Weights):
+    """(sketch, groups of equal sets, label of the groups' first rows) by the weights."""
+    weights = spark.sparkContext.broadcast(weights)
     texts = rows.select("rid", "text")
-    weights = spark.sparkContext.broadcast(fit_weights(spark, texts, n))
     sketch = scratch.table(
         rows.select("ord", "rid", "text").mapInArrow(_sketched(weights), "ord long, rid long, f1 long, f2 long, samples binary, some boolean"), "sketch"
     )
@@ -413,20 +468,7 @@ def classes_of(spark, scratch: Scratch, rows: DataFrame, n: int) -> DataFrame:
         whole = part.join(first, "rid").join(texts, "rid").select("g", "key", "x", "y", "band", "rid", "label", "left", "right", "samples", "text")
         more = whole.groupBy("g").applyInArrow(_across(weights), "u long, v long")
         label = components(scratch, label.unionByName(scratch.table(more, "more")), "c1")
-
-    # copies get the class of their representative; then the smallest id of each class, by order
-    named = groups.select("f1", "f2", "copies", F.col("first.ord").alias("o"), F.col("first.rid").alias("r"))
-    named = named.join(label.select(F.col("u").alias("r"), F.col("v").alias("l")), "r", "left").withColumn("l", F.coalesce("l", "r"))
-    named = scratch.table(named, "labels")
-    heads = named.groupBy("l").agg(F.min(F.struct("o", "r")).alias("h"), F.sum("copies").alias("class_size"))
-    of_group = salted_join(named, heads, ["l"], ["r"], SALTS).select("f1", "f2", F.col("h.r").alias("head"), F.col("h.o").alias("head_ord"), "class_size")
-    member = sketch.where("some").select("ord", "rid", "f1", "f2").join(of_group, ["f1", "f2"]).select("ord", "rid", "head", "head_ord", "class_size")
-    alone = sketch.where("NOT some").select("ord", "rid", F.col("rid").alias("head"), F.col("ord").alias("head_ord"), F.lit(1).cast("long").alias("class_size"))
-    null_id = (1 << 63) - 1
-    back = lambda c: F.when(F.col(c) != null_id, F.col(c))
-    return member.unionByName(alone).select(
-        back("ord").alias("doc_id"), back("head_ord").alias("class_id"), "class_size", (F.col("rid") == F.col("head")).alias("kept"), "rid"
-    )
+    return sketch, groups, label
 
 
 def keep_first(spark, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
