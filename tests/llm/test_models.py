@@ -247,6 +247,35 @@ def test_pages_join_templates_when_they_are_many(spark, monkeypatch):
     assert sorted(tuple(r) for r in html_extract.extract_pages(spark, df).collect()) == one
 
 
+def test_a_notice_on_part_of_the_pages_is_template(spark):
+    """An unnamed block on six pages of ten goes, and so does a repeated list of another type of page."""
+    rows = []
+    for i in range(10):
+        extra = "<div class=zq><p>Act now and save</p></div>" if i < 6 else "<ul><li>one thing</li><li>other thing</li></ul>"
+        rows.append((i, "http://a.org/x", f"<html><body><article><p>Text {i} of the page, its first part</p>{extra}<p>Its second part is {i * 7} long</p></article></body></html>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark, df).collect()}
+    assert got == {i: f"Text {i} of the page, its first part\nIts second part is {i * 7} long" if i < 6 else got[i] for i in range(10)}
+    assert "one thing" in got[9]  # four pages are under MIN_PAGES
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    rows = [(i, "http://a.org/x", page(f"Title {i}", [f"Text {i}" if i < 14 else "A text that six pages have", "and its second part" if i >= 14 else f"Second {i}"])) for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark, df).collect()}
+    assert got[3] == "Title 3\nText 3\nSecond 3" and got[16] == "Title 16\nA text that six pages have\nand its second part"
+
+
+def test_classes_are_ordered_by_occurrence_and_nested():
+    key = html_extract.token_key
+    of = lambda *classes: {key(t): (n, float(k), 1.0 - n / 10) for n, c in enumerate(classes) for k, t in enumerate(c)}
+    valid = lambda page, *classes: sorted(html_extract.valid_classes(list(page), of(*classes)))
+    assert valid("xabababy", "ab") == [1, 2, 3, 4, 5, 6]  # each pair after the other
+    assert valid("xaabby", "ab") == []  # the second a comes before the first b
+    assert valid("acdb", "ab", "cd") == [0, 1, 2, 3] and valid("cabd", "ab", "cd") == [0, 1, 2, 3]
+    assert valid("acbd", "ab", "cd") == [0, 2]  # neither is in a slot of the other
+
+
 @pytest.mark.parametrize(
     ("source", "text"),
     [

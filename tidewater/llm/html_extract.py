@@ -2,19 +2,21 @@
 
 Pass 1 reads every page as tokens: tags and text blocks, each with the path of elements around it. Tokens of
 one host are summed up: on how many pages they are, a fingerprint of their occurrence vector (which pages, how often
-on each) and their mean place. Tokens of a host with equal vectors that are on at least ``SUPPORT`` of its pages
-(and its pages at least ``MIN_PAGES``) form an equivalence class. A class is valid on a page if its tokens
-come there in the order of their mean places; a class whose places lie between two tokens of another is nested in it. What the
-valid classes hold is the template; what lies between is the slots.
+on each) and their mean place. Tokens of a host with equal vectors that are on at least ``MIN_PAGES`` and ``SUPPORT`` of its pages
+form an equivalence class. On a page a class is valid if it is ordered (the first occurrences of its tokens come in the order of
+their mean places, then the second ones, and so on) and nested with the valid classes of more pages: where tokens of one come between
+two tokens of another, the whole occurrence does. What the valid classes hold is the template; what lies between is the slots.
 
 Pass 2 takes from each page the blocks in slots, leaves out elements that are no part of an article
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments: by tag, role and class names) and
 keeps the slots of the article: the largest ``article`` element, else ``main``, else all that is not mostly links.
-If all text of an article is template (copies of one page), the text stays.
+Classes on under ``WIDE`` of the pages that together hold over half of the text are copies of a page and stay; so does the text if
+all of it is template.
 
 Scale: tokens are summed per batch before they shuffle by (host, token), so a host with a third of all pages
-sends few rows; only tokens above the support are kept, which a page's length bounds. The templates are broadcast
-if they have at most ``BROADCAST_ROWS`` rows; else pages join them by (host, salt), each host in ``SALTS`` parts.
+sends few rows; only tokens above the support are kept, at most 1 / SUPPORT times a page's length. The templates are broadcast
+if they have at most ``BROADCAST_ROWS`` rows; else they meet the pages in groups of some ``TOGETHER``, hosts with more than that and a
+thousandth of all pages dealt to several.
 
 Defined results: null or empty html gives an empty text and 0; a page without markup is one block; a null or odd url is a
 host of its own; repeated rows are rows of their own; unclosed tags end with what holds them.
@@ -22,6 +24,7 @@ host of its own; repeated rows are rows of their own; unclosed tags end with wha
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
 import re
@@ -32,10 +35,14 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import Scratch, salted_join
 
-SUPPORT = 0.9
+SUPPORT = 0.01
 MIN_PAGES = 5
+#: Part of a host's pages from which on a class can't be copies of one page.
+WIDE = 0.5
 BROADCAST_ROWS = 20_000
 SALTS = 16
+#: Pages that a task takes together where templates aren't broadcast.
+TOGETHER = 200
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|math|canvas|video|audio)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -162,8 +169,45 @@ def token_key(token: str) -> int:
     return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def pick_text(source: str | None, template: dict[int, tuple[int, float]] | None) -> str:
-    """The article's blocks; template has a class number and mean place for each token of the host's template."""
+def _nested(one: tuple[int, ...], owner: dict[int, int], wholes: list[tuple[int, ...]]) -> bool:
+    """Whether an occurrence of a class lies in one slot of each that it meets, or each lies in one slot of it."""
+    for x, y in zip(one, one[1:], strict=False):
+        for n in {owner[k] for k in range(x + 1, y) if k in owner}:
+            other = wholes[n]
+            if (other[0] < x or other[-1] > y) and bisect.bisect(other, one[0]) != bisect.bisect(other, one[-1]):
+                return False
+    return True
+
+
+def valid_classes(tokens: list[str], template: dict[int, tuple[int, float, float]]) -> dict[int, float]:
+    """Places of the page's tokens in valid classes, with the class's part of the host's pages."""
+    held: dict[int, dict[int, tuple[float, float, list[int]]]] = {}
+    for k, token in enumerate(tokens):
+        key = token_key(token)
+        if got := template.get(key):
+            held.setdefault(got[0], {}).setdefault(key, (got[1], got[2], []))[2].append(k)
+    known: dict[int, float] = {}
+    owner: dict[int, int] = {}  # the occurrence of a class that a place belongs to
+    wholes: list[tuple[int, ...]] = []
+    for number in sorted(held, key=lambda c: (-next(iter(held[c].values()))[1], -len(held[c]), c)):
+        members = sorted(held[number].values(), key=lambda m: (m[0], m[2]))
+        if len({len(m[2]) for m in members}) > 1:
+            continue
+        times = list(zip(*(m[2] for m in members), strict=True))
+        flat = [k for t in times for k in t]
+        if any(x >= y for x, y in zip(flat, flat[1:], strict=False)):
+            continue
+        if not all(_nested(t, owner, wholes) for t in times):
+            continue
+        for t in times:
+            owner.update((k, len(wholes)) for k in t)
+            known.update((k, members[0][1]) for k in t)
+            wholes.append(t)
+    return known
+
+
+def pick_text(source: str | None, template: dict[int, tuple[int, float, float]] | None) -> str:
+    """The article's blocks; template has a class number, mean place and part of the pages for each token of the host's template."""
     if not source:
         return ""
     tokens, blocks = read_page(source)
@@ -172,18 +216,7 @@ def pick_text(source: str | None, template: dict[int, tuple[int, float]] | None)
     for b in own:
         if b.article:
             size[b.article] = size.get(b.article, 0) + len(b.text)
-    known = {}
-    if template:
-        last: dict[int, float] = {}
-        broken = set()
-        for k, token in enumerate(tokens):
-            if got := template.get(token_key(token)):
-                number, place = got
-                if place < last.get(number, -1.0):
-                    broken.add(number)
-                last[number] = place
-                known[k] = number
-        known = {k: number for k, number in known.items() if number not in broken}
+    known = valid_classes(tokens, template) if template else {}
     if size:
         best = max(size, key=lambda a: (size[a], -a))
         picked = [b for b in own if b.article == best]
@@ -191,7 +224,10 @@ def pick_text(source: str | None, template: dict[int, tuple[int, float]] | None)
         picked = [b for b in own if b.main]
     else:
         picked = [b for b in own if b.links < 0.5]
-    slots = [b for b in picked if b.place not in known]
+    left = [b for b in picked if known.get(b.place, 0.0) < WIDE]
+    slots = [b for b in left if b.place not in known]
+    if 2 * sum(len(b.text) for b in slots) < sum(len(b.text) for b in left):
+        slots = left
     return "\n".join(b.text for b in (slots or picked))
 
 
@@ -227,7 +263,7 @@ def _summed(batches):
 
 
 def deduce_templates(spark, pages: DataFrame, page_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, token, class (smallest token of the equivalence class), place: tokens of each host's template."""
+    """host, token, class (smallest token of the equivalence class), place, part (of the pages), of (pages of the host): tokens of each host's template."""
     scratch = Scratch(spark, "html")
     sums = (
         pages.select(pages[page_col].cast("string"), pages[url_col], pages[html_col])
@@ -237,10 +273,10 @@ def deduce_templates(spark, pages: DataFrame, page_col: str = "page_id", url_col
     )
     sums = scratch.table(sums.where((F.col("n_pages") > 0) | (F.col("pages") >= MIN_PAGES)), "sums")
     hosts = sums.where((F.col("n_pages") >= MIN_PAGES) & (F.col("token") == 0)).select("host", F.col("n_pages").alias("of"))
-    common = salted_join(sums.where(F.col("token") != 0), hosts, ["host"], ["token"], SALTS).where(F.col("pages") >= SUPPORT * F.col("of"))
+    common = salted_join(sums.where(F.col("token") != 0), hosts, ["host"], ["token"], SALTS).where(F.col("pages") >= F.greatest(F.lit(MIN_PAGES), SUPPORT * F.col("of")))
     classes = common.groupBy("host", "pages", "vector").agg(F.min("token").alias("class"))
     return scratch.table(
-        common.join(classes, ["host", "pages", "vector"]).select("host", "token", "class", (F.col("place") / F.col("pages")).alias("place")), "templates"
+        common.join(classes, ["host", "pages", "vector"]).select("host", "token", "class", (F.col("place") / F.col("pages")).alias("place"), (F.col("pages") / F.col("of")).alias("part"), "of"), "templates"
     )
 
 
@@ -256,9 +292,9 @@ def extract_pages(spark, pages: DataFrame, page_col: str = "page_id", url_col: s
         )
 
     if templates.count() <= BROADCAST_ROWS:
-        held: dict[str, dict[int, tuple[int, float]]] = {}
+        held: dict[str, dict[int, tuple[int, float, float]]] = {}
         for r in templates.collect():
-            held.setdefault(r.host, {})[r.token] = (r["class"], r.place)
+            held.setdefault(r.host, {})[r.token] = (r["class"], r.place, r.part)
         shared = spark.sparkContext.broadcast(held)
 
         def run(batches):
@@ -268,16 +304,22 @@ def extract_pages(spark, pages: DataFrame, page_col: str = "page_id", url_col: s
         return slim.mapInArrow(run, out)
 
     host = F.regexp_replace(F.lower(F.trim(F.coalesce("url", F.lit("")))), r"(?s)\A[a-z][a-z0-9+.-]*://|[/?#].*\z", "")
-    by_host = templates.groupBy("host").agg(F.collect_list(F.struct("token", "class", "place")).alias("template"))
-    by_host = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = slim.withColumn("host", host).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(by_host, ["host", "salt"], "left")
-
-    def run_joined(batches):
-        for batch in batches:
-            rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            yield made(batch, [pick_text(h, {x["token"]: (x["class"], x["place"]) for x in t} if t else None) for h, t in rows])
-
-    return joined.select("page_id", "url", "html", "template").mapInArrow(run_joined, out)
+    n = slim.count()
+    hot = templates.groupBy("host").agg(F.max("of").alias("of")).where(F.col("of") > max(TOGETHER, n / 1000)).select("host", F.ceil(F.col("of") / TOGETHER).cast("int").alias("parts"))
+    group = F.pmod(F.xxhash64("host", "part_of"), F.lit(n // TOGETHER + 1)).alias("g")
+    dealt = slim.withColumn("host", host).join(F.broadcast(hot), "host", "left")
+    dealt = dealt.withColumn("part_of", F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("parts", F.lit(1))).cast("int")).select(group, "page_id", "url", "html", "host")
+    each = templates.join(F.broadcast(hot), "host", "left").withColumn("part_of", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    each = each.select(group, "host", "token", "class", "place", "part")
+
+    def run_grouped(rows, known):
+        held: dict[str, dict[int, tuple[int, float, float]]] = {}
+        for h, t, *rest in zip(*(known.column(c).to_pylist() for c in ("host", "token", "class", "place", "part")), strict=True):
+            held.setdefault(h, {})[t] = tuple(rest)
+        texts = [pick_text(x, held.get(h)) for h, x in zip(rows.column("host").to_pylist(), rows.column("html").to_pylist(), strict=True)]
+        return pa.table([rows.column("page_id"), rows.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return dealt.groupBy("g").cogroup(each.groupBy("g")).applyInArrow(run_grouped, out)
 
 
 def op7_html_extract(spark, sf_dir: str) -> DataFrame:
