@@ -6,11 +6,13 @@ name-literal pairs (``name = "x"``, ``name: x``, ``"name": "x"``, ``NAME=x``, ``
 keeps the constants that a text binds, and carries them through later names and concatenations
 (``A = "..."; client_secret = A + "..."``). A literal is scored by the target name it reaches (how
 sensitive its parts are) and by its own form (length, classes of characters, entropy; words of prose,
-placeholders and references score nothing). Literals of ``LEAST`` or more that no base span
+placeholders and references score nothing). Literals may be of any length, in brackets, over several lines (triple quotes, back ticks,
+YAML blocks, quotes around a PEM block or lines of one word, continued or concatenated lines) or on the line after the
+name. PEM private keys under any sensitive name and phrases of some words in quotes under a strong one count as secrets. Literals of ``LEAST`` or more that no base span
 covers are added as spans of kind ``lex``.
 
 Every row is worked on by itself: nothing shuffles, and only lines that hold an assignment sign are
-lexed. Defined results: null text is empty; texts without a match give zero counts, an empty span
+searched for names. Defined results: null text is empty; texts without a match give zero counts, an empty span
 list and the hash of the empty string; repeated rows are rows of their own.
 """
 
@@ -35,8 +37,15 @@ PAIR = re.compile(
     r"""(?P<nq>["'`]?)(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]{0,80})(?P=nq)(?:\[\s*["']?(?P<key>[A-Za-z_][\w.-]{0,80})["']?\s*\])?"""
     r"""[ \t]*(?P<op>:=|=>|:(?!/)|=(?!=))[ \t]*"""
 )
-ATOM = re.compile(r""""(?P<d>(?:[^"\\\n]|\\.){0,4096})"|'(?P<s>(?:[^'\\\n]|\\.){0,4096})'|`(?P<b>[^`\n]{0,4096})`|(?P<w>[^\s"'`,;(){}\[\]+]+)""")
-JOINT = re.compile(r"[ \t]*(?:\+|\.\.|\|\|)[ \t]*")
+QUOTED = re.compile(r"""[A-Za-z@$]{0,2}(?:"(?!"")(?P<d>(?:[^"\\\n]|\\[\s\S])*+)"|'(?!'')(?P<s>(?:[^'\\\n]|\\[\s\S])*+)')""")
+OVER = {q: re.compile(rf"{q}((?:[^{q}\\]|\\[\s\S])*+){q}(?=[ \t]*[,;)\]}}]*[ \t]*(?:\r?\n|\Z))") for q in "\"'"}
+OPEN = re.compile(r"""[A-Za-z@$]{0,2}(\"{3}|'{3}|`)""")
+WORD = re.compile(r"""[^\s"'`,;(){}\[\]+]+""")
+YAML = re.compile(r"[|>][+-]?[0-9]?[+-]?[ \t]*\r?\n")
+SPACE = re.compile(r"[ \t]*(?:\\?\r?\n[ \t]*)*")
+JOINT = re.compile(r"[ \t]*(?:\\?\r?\n[ \t]*)?(?:\+|\.\.|\|\|)[ \t]*(?:\\?\r?\n[ \t]*)?")
+BESIDE = re.compile(r"""(?:[ \t]*\\\r?\n)?[ \t]*(?=["'])""")
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY( BLOCK)?-----")
 IDENT = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*\Z")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 STRONG = {"password", "passwd", "passphrase", "pwd", "secret", "apikey", "credential", "credentials", "token", "bearer", "privatekey", "accesskey", "authtoken", "secretkey"}
@@ -61,10 +70,17 @@ def name_score(name: str) -> float:
     return 1.0 if both & STRONG else 0.4 + 0.3 * (len(both & WEAK) > 1) if both & WEAK else 0.0
 
 
-def literal_score(value: str) -> float:
-    """How much a literal looks like a generated secret rather than prose, a path or a placeholder."""
-    if len(value) < 8 or PLACEHOLDER.match(value) or re.search(r"\s", value):
+def literal_score(value: str, phrase: bool = False) -> float:
+    """How much a literal looks like a generated secret rather than prose, a path or a placeholder; phrase: words may be a passphrase."""
+    if PEM.search(value):
+        return 1.0
+    if "\n" in value and all(len(x.split()) < 2 for x in value.split("\n")):
+        value = "".join(value.split())
+    if len(value) < 8 or PLACEHOLDER.match(value):
         return 0.0
+    if re.search(r"\s", value):
+        words = value.split()
+        return 0.6 if phrase and len(words) > 1 and "\n" not in value and len(set(words)) > 1 else 0.0
     n = Counter(value)
     entropy = -sum(k / len(value) * math.log2(k / len(value)) for k in n.values())
     classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
@@ -73,34 +89,139 @@ def literal_score(value: str) -> float:
     return min(1.0, 0.35 + 0.1 * classes + 0.08 * max(0.0, entropy - 2))
 
 
+class Lexer:
+    """Values of pairs: lists of items, each the atoms (start, end, whether quoted) that are put together."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.bound: dict[str, list[list[tuple[int, int, bool]]]] = {}
+        self.unclosed: set[str] = set()
+        self.word = (0, 0)
+
+    def quoted(self, pos: int, stop: int) -> tuple[int, int, int] | None:
+        """(start, end, where it goes on) of the literal in quotes at pos."""
+        text = self.text
+        if (o := OPEN.match(text, pos, stop)) and o[1] not in self.unclosed:
+            if (end := text.find(o[1], o.end(), stop)) >= 0:
+                return o.end(), end, end + len(o[1])
+            if stop == len(text):
+                self.unclosed.add(o[1])
+        if m := QUOTED.match(text, pos, stop):
+            return m.start(m.lastgroup), m.end(m.lastgroup), m.end()
+        q = text[pos : pos + 1]
+        if q in OVER and q and q not in self.unclosed:
+            if (m := OVER[q].match(text, pos, stop)) and literal_score(m[1]) > 0:
+                return m.start(1), m.end(1), m.end()
+            if text.find(q, pos + 1) < 0:
+                self.unclosed.add(q)
+        return None
+
+    def plain(self, pos: int, stop: int) -> tuple[int, int] | None:
+        """The word at pos; a run of its characters is read once."""
+        if not self.word[0] <= pos < self.word[1]:
+            if not (m := WORD.match(self.text, pos)):
+                return None
+            self.word = m.span()
+        return (pos, min(self.word[1], stop)) if pos < stop else None
+
+    def block(self, pos: int, stop: int, indent: int) -> tuple[int, int] | None:
+        """The YAML block from the line at pos on: lines indented deeper than its name."""
+        first, last = -1, pos
+        while pos < stop:
+            end = self.text.find("\n", pos, stop)
+            end = stop if end < 0 else end
+            line = self.text[pos:end]
+            if line.strip():
+                if len(line) - len(line.lstrip()) <= indent:
+                    break
+                first = pos + len(line) - len(line.lstrip()) if first < 0 else first
+                last = pos + len(line.rstrip())
+            pos = end + 1
+        return (first, last) if first >= 0 else None
+
+    def value(self, m: re.Match, stop: int) -> list[list[tuple[int, int, bool]]]:
+        text, pos, depth = self.text, m.end(), 0
+        items: list[list[tuple[int, int, bool]]] = [[]]
+        line = text.rfind("\n", 0, m.start()) + 1
+        head = text[line : m.start()]
+        indent = len(head) - len(head.lstrip())
+        if m["op"] == ":" and (y := YAML.match(text, pos, stop)):
+            return [[(*b, True)]] if (b := self.block(y.end(), stop, indent)) else []
+        start = pos
+        pos = SPACE.match(text, pos, stop).end()
+        next_line = "\n" in text[start:pos]
+        while pos < stop:
+            if text[pos] in "([":
+                depth, pos = depth + 1, pos + 1
+            elif q := self.quoted(pos, stop):
+                items[-1].append((q[0], q[1], True))
+                pos = q[2]
+                if j := JOINT.match(text, pos, stop) or BESIDE.match(text, pos, stop):
+                    pos = j.end()
+                    continue
+                if not depth:
+                    break
+            elif text[pos] in ")]" and depth:
+                depth, pos = depth - 1, pos + 1
+                if not depth:
+                    if not (j := JOINT.match(text, pos, stop)):
+                        break
+                    pos = j.end()
+                    continue
+            elif text[pos] == "," and depth:
+                items.append([])
+                pos += 1
+            elif w := self.plain(pos, stop):
+                j = JOINT.match(text, w[1], stop)
+                name = text[pos : w[1]] if w[1] - pos < 100 else ""
+                if IDENT.match(name) and (name in self.bound or j):
+                    for more in self.bound.get(name, []):
+                        items[-1] += more
+                elif depth or next_line and (pos - text.rfind("\n", 0, pos) - 1 <= indent or text[w[1] : w[1] + 2].strip() or ":" in text[w[0] : w[1]] or "=" in text[w[0] : w[1]]):
+                    break
+                else:
+                    items[-1].append((*w, False))
+                pos = w[1]
+                if j:
+                    pos = j.end()
+                    continue
+                if not depth:
+                    break
+            else:
+                break
+            if depth:
+                pos = SPACE.match(text, pos, stop).end()
+        return [x for x in items if x]
+
+
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, itself or through constants."""
     if "=" not in text and ":" not in text:
         return []
-    bound: dict[str, list[tuple[int, int, str]]] = {}
+    lexer = Lexer(text)
     found: set[tuple[int, int]] = set()
+    within: list[tuple[int, int, int]] = []  # literals in quotes, with where what is around them ends: pairs in one end with it
     at = 0
     for line in text.splitlines(keepends=True):
         if "=" in line or ":" in line:
-            stop = at + len(line.rstrip("\r\n"))
-            for m in PAIR.finditer(text, at, stop):
-                name, pos, atoms = m["key"] or m["name"], m.end(), []
-                while a := ATOM.match(text, pos, stop):
-                    kind = a.lastgroup
-                    if kind == "w" and IDENT.match(a["w"]) and (a["w"] in bound or JOINT.match(text, a.end(), stop)):
-                        atoms += bound.get(a["w"], [])
-                    else:
-                        atoms.append((a.start(kind), a.end(kind), a[kind]))
-                    pos = a.end()
-                    if not (j := JOINT.match(text, pos, stop)):
-                        break
-                    pos = j.end()
-                if not atoms:
+            for m in PAIR.finditer(text, at, at + len(line.rstrip("\r\n"))):
+                while within and within[-1][1] <= m.start():
+                    within.pop()
+                if within:
+                    stop = within[-1][1] if within[-1][0] <= m.start() else within[-1][2]
+                else:
+                    stop = len(text)
+                name = m["key"] or m["name"]
+                items = lexer.value(m, stop)
+                if not items:
                     continue
-                bound[name.rpartition(".")[2]] = atoms
+                within += sorted(((s, e, stop) for x in items for s, e, quoted in x if quoted and m.end() <= s), reverse=True)
+                lexer.bound[name.rpartition(".")[2]] = items
                 sensitive = name_score(name)
-                if sensitive and 0.5 * sensitive + 0.5 * literal_score("".join(x for *_, x in atoms)) >= LEAST and literal_score("".join(x for *_, x in atoms)) > 0.4:
-                    found.update((s, e) for s, e, _ in atoms if e > s)
+                for atoms in items if sensitive else ():
+                    score = literal_score("".join(text[s:e] for s, e, _ in atoms), sensitive == 1.0 and all(q for *_, q in atoms))
+                    if 0.5 * sensitive + 0.5 * score >= LEAST and score > 0.4:
+                        found.update((s, e) for s, e, _ in atoms if e > s)
         at += len(line)
     return sorted(found)
 
