@@ -1,15 +1,16 @@
-"""Line deduplication: a suffix array over line-ID sequences by distributed prefix doubling.
+"""Line deduplication: repeated runs of lines by distributed prefix doubling over line-ID sequences.
 
 A text is the sequence of its lines that are not blank; a line's ID is its content without white space around it (by two hashes).
 Prefix doubling names runs of 1, 2, 4, ... lines: the name of a run is the place of its first occurrence (smallest id, then
 row, then line), so a name says both which runs are equal and which one stays. One round joins the names of two
 runs side by side, groups the pairs and gives each group its name. What is unique is discarded after each round:
 it can't be the prefix of a longer repeated run. A length that is no power of two takes two overlapping
-runs. Groups of equal names are the intervals of the suffix array with that longest common prefix.
+runs. Names are not sorted and doubling ends at ``MIN_LINES``, so no suffix array or longest common prefix is made: groups of
+equal names are the sets of places with the same MIN_LINES lines, whatever the lines after them.
 
 A line is deleted if it lies in a run of at least ``MIN_LINES`` lines that occurs earlier, or is itself a run of at least
 ``MIN_CHARS`` characters that does. Runs of any greater length are covered by the runs of MIN_LINES in them, all of which
-repeat, so what goes is the maximal runs.
+repeat, so what goes is what the maximal runs cover; a run of fewer lines stays unless a line of it is long enough, as in the SQL.
 
 Scale: lines travel as hashes; groups are pre-aggregated, and joined back to lines in ``SALTS`` parts each (joins that adaptive execution
 can split further), as a line may be in a third of all texts. Texts shuffle once, to meet their deleted lines.
