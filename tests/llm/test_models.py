@@ -1,63 +1,86 @@
 """Operators that learn or that compare texts, against brute force or held-out accuracy."""
 
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from tidewater.llm import html_extract, langid, minhash, quality
-from tidewater.llm.common import Scratch
+from tidewater.llm.common import Scratch, hash_limit, numbered
 from tidewater.llm.components import components
 
 SF = "/root/testdata/sf0.01"
 
 
-def texts_with_copies(seed=3, n=40):
-    rnd = random.Random(seed)
-    vocab = [f"w{i}" for i in range(400)]
-    rows, i = [], 0
-    for _ in range(n):
-        base = [rnd.choice(vocab) for _ in range(rnd.randint(3, 120))]
-        for _ in range(rnd.choice([1, 1, 2, 6])):
-            words = list(base)
-            for _ in range(rnd.randint(0, 4)):
-                words[rnd.randrange(len(words))] = rnd.choice(vocab)
-            rows.append((i, " ".join(words)))
-            i += 1
-    rows += [(i, None), (i + 1, ""), (i + 2, " .. "), (i + 3, "One two"), (i + 4, "one, two!"), (i + 5, "one"), (None, rows[0][1]), (0, rows[0][1])]
-    return rows
+def flat_weights():
+    return minhash.Weights(np.zeros((minhash.DEPTH, minhash.WIDTH)), 10)
 
 
-def test_near_classes(spark):
-    rows = texts_with_copies()
-    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, u string, rid int").coalesce(1)
-    got = minhash.near_classes(spark, df).collect()
-    weights = minhash.Weights(np.zeros(0, np.uint64), np.zeros(0), len(rows), len(rows) / 10)
-    texts = [t for _, t in rows]
-    up = list(range(len(rows)))
+def independent_classes(texts, counted):
+    """Classes by all pairs and idf from Python counts over the texts at the places counted; smallest place of each class."""
+    import math
+    import re
+
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    bags = [Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter() for w in words]
+    df = Counter(s for i in counted for s in bags[i])
+    n = sum(bool(bags[i]) for i in counted)
+    idf = lambda s: math.log10((1 + n) / (1 + max(1, df[s]))) + 1
+    weighted = [{s: k * idf(s) for s, k in b.items()} for b in bags]
+    up = list(range(len(texts)))
 
     def root(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    pairs = [(i, j) for i in range(len(rows)) for j in range(i)]
-    sim = np.concatenate([minhash.similarity([texts[i] for i, _ in pairs[k : k + 5000]], [texts[j] for _, j in pairs[k : k + 5000]], weights) for k in range(0, len(pairs), 5000)])
-    for (i, j), s in zip(pairs, sim, strict=True):
-        if s >= minhash.LEAST - 1e-9:
-            a, b = root(i), root(j)
-            up[max(a, b)] = min(a, b)
-    classes = {}
-    for i in range(len(rows)):
-        classes.setdefault(root(i), []).append(i)
+    close = 0
+    for i, a in enumerate(weighted):
+        for j, b in enumerate(weighted[:i]):
+            both = sum(min(x, b[s]) for s, x in a.items() if s in b)
+            sim = both / (sum(a.values()) + sum(b.values()) - both) if both else 0.0
+            close += abs(sim - 0.8) < 1e-4  # float32 may differ here
+            if sim >= 0.8:
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    assert not close
+    return [root(i) for i in range(len(texts))]
+
+
+def test_near_classes(spark):
+    """Groups of near copies around unlike texts, half with one of three passages, so that idf differs; plus odd rows."""
+    rnd = random.Random(4)
+    passages = [" ".join(f"p{k}x{i}" for i in range(25)) for k in range(3)]
+    rows, heads, i = [], [], 0
+    for g in range(60):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randint(80, 150))]
+        heads.append(len(rows))
+        for k in range(rnd.choice([1, 1, 2, 6])):
+            words = list(base)
+            if k:
+                at = rnd.randrange(len(words) - rnd.randint(0, 9))
+                words[at : at + 1] = ["new"] * rnd.randint(0, 2)
+            rows.append((i, " ".join(words + [passages[g % 3]] * (g % 2))))
+            i += 1
+    n = len(rows)
+    rows += [(i, None), (i + 1, ""), (i + 2, " .. "), (i + 3, "One two"), (i + 4, "one, two!"), (i + 5, "one"), (None, rows[0][1]), (0, rows[0][1])]
+    heads += [n + 3, n + 5]
+    want_root = independent_classes([t for _, t in rows], heads)
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, u string, rid int, ord int").coalesce(1)
+    got = minhash.near_classes(spark, df).collect()
+    classes = defaultdict(list)
+    for k, r in enumerate(want_root):
+        classes[r].append(k)
     want = []
     for members in classes.values():
         ids = [rows[m][0] for m in members]
         head = min((x for x in ids if x is not None), default=None)
         want += [(x, head, len(ids)) for x in ids]
     assert sorted(((r.doc_id, r.class_id, r.class_size) for r in got), key=repr) == sorted(want, key=repr)
-    assert sum(r.kept for r in got) == len(classes)
-    assert minhash.keep_first(spark, df).count() == len(classes)
+    assert sum(r.kept for r in got) == len(classes) < n - 20
+    kept = minhash.keep_first(spark, df)
+    assert kept.columns == df.columns and {(r.u, r.rid, r.ord) for r in kept.collect()} == {("x", 1, 2)} and kept.count() == len(classes)
 
 
 def test_a_large_group_of_near_copies_does_not_weigh_down_its_members(spark):
@@ -72,17 +95,28 @@ def test_a_large_group_of_near_copies_does_not_weigh_down_its_members(spark):
 
 
 @pytest.mark.parametrize("n", [60, 2600])
-def test_common_shingles_are_counted_at_every_size(spark, n):
-    """Boilerplate on a fifth of unlike texts, and a third shingle on a twentieth."""
+def test_every_shingle_is_counted_at_every_size(spark, n):
+    """Passages on a fifth, a twentieth and three of unlike texts, and shingles of one text: idf is that of the counts."""
     rnd = random.Random(n)
     rows = []
     for i in range(n):
         words = [f"u{rnd.randrange(10**9)}" for _ in range(40)]
-        rows.append((i, " ".join(words + ["all rights belong to us"] * (i % 5 == 0) + ["rarely seen words of ours"] * (i % 20 == 1))))
-    weights = minhash.fit_weights(spark, spark.createDataFrame(rows, "rid long, text string"), n)
-    common = minhash.shingle_sets(["all rights belong to us"])[1]
-    assert weights.known.tolist() == common.tolist()
-    assert abs(weights.of(common)[0] - (np.log10((1 + n) / (1 + n / 5)) + 1)) < 1e-5
+        rows.append((i, " ".join(words + ["all rights belong to us"] * (i % 5 == 0) + ["rarely seen words of ours"] * (i % 20 == 1) + ["three of all texts say"] * (i < 3))))
+    scratch = Scratch(spark, "t")
+    weights = minhash.fit_weights(spark, scratch, numbered(scratch, spark.createDataFrame(rows, "doc_id long, text string"))[0])
+    assert weights.n == n
+    for text, df in (("all rights belong to us", n // 5), ("rarely seen words of ours", n // 20), ("three of all texts say", 3), (" ".join(rows[7][1].split()[:5]), 1)):
+        assert abs(weights.of(minhash.shingle_sets([text])[1])[0] - (np.log10((1 + n) / (1 + df)) + 1)) < 1e-5
+
+
+def test_sketch_blocks_round_trip():
+    rng = np.random.default_rng(1)
+    for high in (2, 200, 60_000, 1 << 20, 1 << 40):
+        for some in (0.0, 0.01, 1.0):
+            counts = rng.integers(0, high, minhash.BLOCK_OF) * (rng.random(minhash.BLOCK_OF) < some)
+            back = np.ones(minhash.BLOCK_OF, np.int64)
+            minhash._add(back, minhash._encode(counts))
+            assert (back - 1 == counts).all()
 
 
 def test_near_classes_without_rows(spark):
@@ -98,15 +132,24 @@ def test_block_links_join_what_leaders_miss():
     starts = np.searchsorted(owner, np.arange(n))
     ids = np.unique(sh, return_inverse=True)[1]
     sets = starts, np.diff(np.concatenate((starts, [len(owner)]))), ids, times.astype(float)
-    samples = np.ones((n, minhash.SAMPLES), np.uint64)
-    links = minhash.block_links(np.arange(n), np.arange(n), 0, np.full(n, -1), np.zeros(n, int), samples, sets)
+    keys, marks = np.ones((n, minhash.BANDS), np.int64), np.ones((n, minhash.SAMPLES), np.uint8)
+    links = minhash.block_links(np.arange(n), np.arange(n), 0, np.full(n, -1), np.zeros(n, int), keys, marks, sets)
     assert len(links) == n - 1
 
 
+def test_signatures_agree_as_in_sql(spark):
+    samples = np.random.default_rng(2).integers(0, 3, (50, minhash.SAMPLES)).astype(np.uint64)
+    s1, s2 = minhash.signatures(samples)
+    marks = minhash.unpacked(s1, s2)
+    rows = [(int(s1[i]), int(s2[i]), int(s1[j]), int(s2[j]), int((marks[i] == marks[j]).sum()), int((samples[i] == samples[j]).sum())) for i in range(50) for j in range(50)]
+    df = spark.createDataFrame(rows, "s1 long, s2 long, t1 long, t2 long, n int, m int").withColumn("got", minhash.agreeing("s1", "s2", "t1", "t2"))
+    assert df.where("got <> n OR got < m").count() == 0
+
+
 def test_samples_estimate_similarity():
     rnd = random.Random(1)
     agree, true = [], []
-    flat = minhash.Weights(np.zeros(0, np.uint64), np.zeros(0), 10, 1)
+    flat = flat_weights()
     for _ in range(200):
         a = [f"w{rnd.randrange(10**6)}" for _ in range(150)]
         b = list(a)
@@ -136,6 +179,27 @@ def test_components(spark):
     assert got == want
 
 
+def test_components_of_random_graphs(spark):
+    rnd = random.Random(6)
+    links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(200)]
+    up: dict[int, int] = {}
+    from tidewater.llm.components import root
+
+    for u, v in links:
+        a, b = root(up, u), root(up, v)
+        up[max(a, b)] = min(a, b)
+    want = {x: root(up, x) for link in links for x in link if root(up, x) != x}
+    df = spark.createDataFrame(links, "u long, v long").repartition(7)
+    assert dict(tuple(r) for r in components(Scratch(spark, "t"), df).collect()) == want
+
+
+@pytest.mark.parametrize("n", [10**k for k in range(4, 13)])
+def test_fit_samples_hold_at_any_size(n):
+    """The expected sample of n rows is the rows asked for."""
+    limit = hash_limit(1500, n)
+    assert abs((limit + (1 << 63) + 1) * n / (1 << 64) - 1500) < 1e-3 and hash_limit(n, n) == (1 << 63) - 1
+
+
 # -- language and quality
 
 

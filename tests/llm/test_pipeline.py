@@ -9,6 +9,7 @@ import pytest
 
 import corpus_pipeline
 from tidewater.llm import decontaminate, line_dedup, minhash, mixing, quality
+from tidewater.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,7 +66,7 @@ def test_stages_one_by_one(spark, inputs):
 
     # 3: near duplicates, by all pairs
     got = spark.createDataFrame(got.collect(), docs.schema).coalesce(1)
-    weights = minhash.fit_weights(spark, got.selectExpr("doc_id AS rid", "text"), len(left))
+    weights = minhash.fit_weights(spark, Scratch(spark, "t"), got.selectExpr("doc_id AS rid", "text"))
     up = list(range(len(left)))
 
     def root(x):

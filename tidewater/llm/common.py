@@ -25,13 +25,16 @@ def word_bytes(text: str | None) -> list[bytes]:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in spark.checkpoint.dir. Where that is unset (tests), a local folder is
-    chosen and set.
+    A cluster names it in spark.checkpoint.dir: without that setting a ValueError is raised there. Only a local master
+    (one process, as in tests) gets a temporary folder of its own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         path = tempfile.mkdtemp(prefix="tidewater-")
@@ -74,8 +77,19 @@ class Scratch:
 LAST = (1 << 63) - 1
 
 
-def numbered(scratch: Scratch, docs: DataFrame, id_col: str) -> tuple[DataFrame, int]:
-    """docs with ``ord`` (the id, null as the largest) and ``rid`` (unique), and the number of rows.
+def slim(docs: DataFrame, id_col: str, text_col: str, *, carry: bool = False) -> DataFrame:
+    """doc_id and text of docs; with carry, ``row`` beside: all columns of docs as one struct, so that no name of theirs can clash with one of ours."""
+    own = [docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text")]
+    return docs.select(*own, *([F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if carry else []))
+
+
+def carried(rows: DataFrame, docs: DataFrame) -> list[Column]:
+    """The columns of docs out of ``row``."""
+    return [rows["row"].getField(c).alias(c) for c in docs.columns]
+
+
+def numbered(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, int]:
+    """docs (of slim()) with ``ord`` (the id, null as the largest) and ``rid`` (unique), and the number of rows.
 
     rid is the id where ids are unique; else the rows are numbered and written to the shared folder, so
     that every later read sees the same numbers.
@@ -93,26 +107,22 @@ def numbered(scratch: Scratch, docs: DataFrame, id_col: str) -> tuple[DataFrame,
     return docs.withColumn("ord", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))), n
 
 
-def salted_join(rows: DataFrame, one: DataFrame, keys: list[str], spread: list[str], salts: int) -> DataFrame:
-    """Inner join of rows with the one row that each key has in ``one``; a key's rows are dealt to ``salts`` tasks by the columns in spread.
-
-    For keys that may hold a large part of all rows, where ``one`` is aggregated by the keys: adaptive execution doesn't split such a join.
-    """
-    each = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    return dealt.join(each, [*keys, "__salt"]).drop("__salt")
+def hash_limit(rows: int, n: int) -> int:
+    """The largest 64-bit hash that an expected sample of ``rows`` out of n may have: compared with all 64 bits, so that it holds at any n."""
+    return (1 << 63) - 1 if rows >= n else max((1 << 64) * rows // n - (1 << 63) - 1, -(1 << 63))
 
 
-def hot_join(rows: DataFrame, one: DataFrame, key: str, spread: list[str], salts: int, most: int) -> DataFrame:
-    """salted_join that deals out only keys of more than ``most`` rows, as ``n`` of one counts them; all others have one part.
+def pieces_of(batch, column: int, rows: int = 2000, most: int = 16 << 20):
+    """Slices of an Arrow batch with at most ``rows`` rows and, but for one long text, ``most`` bytes of text in a column."""
+    import pyarrow.compute as pc
 
-    The hot keys are broadcast: at most (rows / most) of them, so most should be a fixed share of the rows.
-    """
-    hot = one.where(F.col("n") > most).select(key, F.lit(True).alias("__hot"))
-    part = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0)
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", part).drop("__hot")
-    each = one.withColumn("__salt", F.explode(F.when(F.col("n") > most, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return dealt.join(each, [key, "__salt"]).drop("__salt", "n")
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        base = sizes[at - 1] if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(sizes, base + most, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def others(df: DataFrame, taken: list[str]) -> list[Column]:

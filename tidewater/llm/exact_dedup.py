@@ -10,8 +10,8 @@ The filter has ``BITS_PER_ROW`` bits a row and at most ``MAX_BITS`` (32 MB), whi
 collected and broadcast. Past that it fills up: more rows shuffle, the result stays exact, and what
 shuffles is the digest (about 60 bytes a row), never the text.
 
-Group keepers come from a partial aggregation, and are joined back to the rows in ``SALTS`` parts of each group, a join that adaptive
-execution can split further, so one group may hold a third of all rows.
+Group keepers come from a partial aggregation and are written before they meet the rows: both sides of that join are plain exchanges, which
+adaptive execution splits where a group is large, so one group may hold a third of all rows.
 
 Defined results: null text counts as empty; rows that repeat with the same id stay separate rows,
 of which one is kept; a null id comes after all others; an empty table gives an empty table; other
@@ -25,15 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import BLANKS, Scratch, mix64, salted_join
+from tidewater.llm.common import BLANKS, Scratch, mix64
 
 BITS_PER_ROW = 16
 MIN_BITS = 1 << 20
 MAX_BITS = 1 << 28
 BLOCK = 1 << 17
 PROBES = 3
-#: Parts of a group in the join back to its rows.
-SALTS = 16
 
 
 def _probes(h: np.ndarray, bits: int) -> np.ndarray:
@@ -132,7 +130,7 @@ def exact_dedup(spark, docs: DataFrame, id_col: str = "doc_id", text_col: str =
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     groups = again.groupBy("text_sha256").agg(best.alias("best"), F.count("*").alias("group_size"))
     keepers = groups.select("text_sha256", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
-    joined = salted_join(again, keepers, ["text_sha256"], ["row"], SALTS)
+    joined = again.join(scratch.table(keepers, "keepers").hint("merge"), "text_sha256")
     return unique.unionByName(
         joined.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
     )

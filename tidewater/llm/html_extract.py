@@ -33,14 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch, salted_join
+from tidewater.llm.common import Scratch
 
 SUPPORT = 0.01
 MIN_PAGES = 5
 #: Part of a host's pages from which on a class can't be copies of one page.
 WIDE = 0.5
 BROADCAST_ROWS = 20_000
-SALTS = 16
 #: Pages that a task takes together where templates aren't broadcast.
 TOGETHER = 200
 
@@ -273,7 +272,7 @@ def deduce_templates(spark, pages: DataFrame, page_col: str = "page_id", url_col
     )
     sums = scratch.table(sums.where((F.col("n_pages") > 0) | (F.col("pages") >= MIN_PAGES)), "sums")
     hosts = sums.where((F.col("n_pages") >= MIN_PAGES) & (F.col("token") == 0)).select("host", F.col("n_pages").alias("of"))
-    common = salted_join(sums.where(F.col("token") != 0), hosts, ["host"], ["token"], SALTS).where(F.col("pages") >= F.greatest(F.lit(MIN_PAGES), SUPPORT * F.col("of")))
+    common = sums.where(F.col("token") != 0).join(hosts.hint("merge"), "host").where(F.col("pages") >= F.greatest(F.lit(MIN_PAGES), SUPPORT * F.col("of")))
     classes = common.groupBy("host", "pages", "vector").agg(F.min("token").alias("class"))
     return scratch.table(
         common.join(classes, ["host", "pages", "vector"]).select("host", "token", "class", (F.col("place") / F.col("pages")).alias("place"), (F.col("pages") / F.col("of")).alias("part"), "of"), "templates"

@@ -28,19 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import BLANKS, Scratch, numbered, salted_join
+from tidewater.llm.common import BLANKS, Scratch, carried, numbered, slim
 
 MIN_LINES = 3
 MIN_CHARS = 60
-#: Parts of a name's rows in the join that gives them the name.
-SALTS = 8
 _PLACE = ("ord", "rid", "q")
 
 
-def _named(rows: DataFrame, key: list[str]) -> DataFrame:
+def _named(scratch: Scratch, rows: DataFrame, key: list[str], name: str) -> DataFrame:
     """rows of repeated keys with the place of the key's first row as (a, b), and whether theirs is a later one."""
-    first = rows.groupBy(*key).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("times")).where(F.col("times") > 1)
-    joined = salted_join(rows, first.select(*key, F.col("first.rid").alias("fa"), F.col("first.q").alias("fb")), key, ["rid", "q"], SALTS)
+    rows = scratch.table(rows, f"{name}-rows")
+    first = scratch.table(rows.groupBy(*key).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("times")).where(F.col("times") > 1), f"{name}-first")
+    joined = rows.join(first.select(*key, F.col("first.rid").alias("fa"), F.col("first.q").alias("fb")).hint("merge"), key)
     return joined.select(
         *[c for c in rows.columns if c not in ("a", "b", "later", *key)],
         F.col("fa").alias("a"),
@@ -61,18 +60,18 @@ def repeated_lines(scratch: Scratch, docs: DataFrame, min_lines: int = MIN_LINES
     ids = docs.where(F.col("text").isNotNull()).select(
         "ord", "rid", F.posexplode(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h1"), F.hash(x).alias("h2"), F.char_length(x).alias("n")))).alias("q", "line")
     )
-    rows = scratch.table(ids.select("ord", "rid", F.col("q").cast("long").alias("q"), "line.*"), "lines")
-    rows = scratch.table(_named(rows.withColumn("big", F.col("n") >= min_chars), ["h1", "h2", "n"]), "run1")
+    rows = ids.select("ord", "rid", F.col("q").cast("long").alias("q"), "line.*").withColumn("big", F.col("n") >= min_chars)
+    rows = scratch.table(_named(scratch, rows, ["h1", "h2", "n"], "lines"), "run1")
     gone = rows.where(F.col("later") & F.col("big")).select("rid", "q")
     if min_lines == 1:
         return rows.where("later").select("rid", "q")
     size = 1
     rows = rows.drop("big")
     while size * 2 <= min_lines:
-        rows = scratch.table(_named(_beside(rows, size), ["a", "b", "a2", "b2"]), f"run{size * 2}")
+        rows = scratch.table(_named(scratch, _beside(rows, size), ["a", "b", "a2", "b2"], f"pair{size}"), f"run{size * 2}")
         size *= 2
     if size < min_lines:
-        rows = _named(_beside(rows, min_lines - size), ["a", "b", "a2", "b2"])
+        rows = _named(scratch, _beside(rows, min_lines - size), ["a", "b", "a2", "b2"], "last")
     run = rows.where("later").select("rid", F.explode(F.sequence(F.col("q"), F.col("q") + (min_lines - 1))).alias("q"))
     return gone.unionByName(run)
 
@@ -80,23 +79,21 @@ def repeated_lines(scratch: Scratch, docs: DataFrame, min_lines: int = MIN_LINES
 def line_dedup(spark, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with its texts less the deleted lines, and ``n_lines`` (not blank), ``n_removed`` beside."""
     scratch = Scratch(spark, "lines")
-    plain = docs.drop("rid", "ord", "gone", "n_lines", "n_removed")
-    rows, _ = numbered(scratch, plain, id_col)
-    gone = repeated_lines(scratch, rows.select("ord", "rid", F.col(text_col).alias("text")), min_lines, min_chars)
+    rows, _ = numbered(scratch, slim(docs, id_col, text_col, carry=True))
+    gone = repeated_lines(scratch, rows.select("ord", "rid", "text"), min_lines, min_chars)
     by_row = gone.groupBy("rid").agg(F.collect_set("q").alias("gone"))
-    joined = rows.join(by_row, "rid", "left").select(*[f"`{c}`" for c in plain.columns], "gone")
-    names, place = list(plain.columns), plain.columns.index(text_col)
+    joined = rows.join(by_row, "rid", "left").select("row", "text", "gone")
 
     def run(batches):
         for batch in batches:
-            out = [strip_lines(t, g) for t, g in zip(batch.column(place).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
-            cols = batch.columns[:-1]
-            cols[place] = pa.array([o[0] for o in out], pa.string())
-            cols += [pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "n_lines", "n_removed"])
-
-    schema = plain.schema.add("n_lines", "long").add("n_removed", "long")
-    return joined.mapInArrow(run, schema)
+            out = [strip_lines(t, g) for t, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            kinds = (pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 3, kinds, strict=True))], ["row", "text", "n_lines", "n_removed"])
+
+    kind = joined.schema["row"].dataType.simpleString()
+    left = joined.mapInArrow(run, f"row {kind}, text string, n_lines long, n_removed long")
+    own = [left["text"].alias(c) if c == text_col else x for c, x in zip(docs.columns, carried(left, docs), strict=True)]
+    return left.select(*(x for c, x in zip(docs.columns, own, strict=True) if c.lower() not in ("n_lines", "n_removed")), "n_lines", "n_removed")
 
 
 def strip_lines(text: str | None, gone: list[int] | None) -> tuple[str | None, int, int]:

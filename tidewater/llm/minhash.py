@@ -1,39 +1,38 @@
 """Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles.
 
 A text is a weighted set of shingles (5 words; a text of fewer words is one shingle; words as in the decontamination
-contract): times in the text by idf. A group of near copies by plain counts is one text for document frequencies, its first, so
-that its size says nothing about its members. The frequencies of all shingles that at least ``COMMON`` of these texts have
-(boilerplate, which weighs less) are counted exactly, whatever their number; any other weighs as if COMMON of them had it. Where there
-is no such shingle the groups by plain counts are the classes; else steps 1 to 4 run again with these weights.
-
-1. Texts with equal weighted sets are one class at once; the first stands for them (its set is the copies' too).
-2. Each representative gets ``SAMPLES`` weighted samples. For weighted Jaccard similarity J two texts agree in a sample with
-   probability J. ``ROWS`` samples are a band; texts that agree in a band meet in its bucket.
-3. Every text is compared with one leader of each of its buckets, not with all: first by samples (``AGREE`` of them; at J = 0.8
+contract): times in the text by idf, log10((1 + n) / (1 + df)) + 1.
+
+1. Document frequencies cover every shingle of every text that counts. A group of near copies counts as one text, so that its size says
+   nothing about its members: a text follows another, and doesn't count, if plain MinHash puts both in one bucket, which the other leads (it
+   has the smallest number), and their signatures agree (``FOLLOW``). Counts are kept in a sketch of ``DEPTH`` rows of ``WIDTH`` counters (12 MB):
+   a frequency is never counted too low, and too high by about the mean number of shingles a text over WIDTH, as a part of all texts
+   (0.05% for texts of 500 words), whatever the number of texts.
+2. Texts with equal weighted sets are one class at once; the first stands for them (its set is the copies' too).
+3. Each representative gets ``SAMPLES`` weighted samples. For weighted Jaccard similarity J two texts agree in a sample with
+   probability J. ``ROWS`` samples are a band; texts that agree in a band meet in its bucket. Four bits of each sample are the text's signature.
+4. Every text is compared with two leaders of each of its buckets, not with all: first by signature (``AGREE`` samples; at J = 0.8
    fewer agree once in 100,000 pairs), then by exact weighted Jaccard similarity of the whole texts, at least ``LEAST``.
-4. Links make classes. In buckets that still hold texts of several classes all texts of different classes are compared, each pair
-   in the first bucket that it shares, again by samples first; a task tells only the links that join classes. Large buckets
-   are dealt out as pairs of blocks; pairs within a class need no comparison, and copies are never expanded.
+5. Links make classes. In buckets that still hold texts of several classes the texts outside of the largest class are compared with all of
+   other classes, each pair in the first bucket that it shares, again by signatures first; a task tells only the links that join classes. Large
+   buckets are dealt out as pairs of blocks; pairs within a class need no comparison, and copies are never expanded.
 
-Scale: shingles never shuffle; what does is samples (240 bytes a text), bucket keys, and the texts of candidates. Bucket leaders are
-pre-aggregated, and the joins can be split.
+Scale: shingles never shuffle; what does is signatures (100 bytes a text), bucket keys, and the texts of candidates. Leaders are pre-aggregated and
+written, so that adaptive execution can split the joins with them where a bucket is hot.
 
 Defined results: null, empty and wordless texts are classes of their own; repeated rows are copies; null ids come last; other
-columns are not looked at. Ids must be integers. The class id is the smallest id of the class.
+columns are not looked at, whatever their names. Ids must be integers. The class id is the smallest id of the class.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WORD_BYTES, Scratch, mix64, numbered, salted_join
-from tidewater.llm.components import components
+from tidewater.llm.common import WORD_BYTES, Scratch, carried, mix64, numbered, pieces_of, slim
+from tidewater.llm.components import components, forest, root
 from tidewater.llm.suffix_dedup import Hashes
 
 SHINGLE = 5
@@ -41,15 +40,19 @@ LEAST = 0.8
 BANDS = 10
 ROWS = 3
 SAMPLES = BANDS * ROWS
-AGREE = 14
-COMMON = 0.1
-#: Texts that a task counts together to find common shingles.
-COUNTED = 2000
+#: Samples of 30 that must agree in four bits (those of different samples do once in 16 times).
+AGREE = 15
+FOLLOW = 18
+#: The sketch of document frequencies, merged by blocks of BLOCK_OF counters.
+WIDTH_BITS = 20
+WIDTH = 1 << WIDTH_BITS
+DEPTH = 3
+BLOCK_OF = 1 << 16
+#: Partial sums of a block that are merged before the block's own sum.
+MERGED = 16
 BLOCK = 512
 #: Rows of small buckets that a task takes together.
 TOGETHER = 4000
-#: Parts of a bucket or class in joins with its leader or head.
-SALTS = 16
 PIECE = 1 << 20
 
 _U = np.uint64
@@ -119,23 +122,21 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     return (key >> _OWNER).astype(np.int64), key & _SHINGLE_BITS, times
 
 
+def _cells(shingles: np.ndarray) -> list[np.ndarray]:
+    """The counter of each shingle in each row of the sketch."""
+    odd = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+    return [(shingles * _U(c) >> _U(64 - WIDTH_BITS)).astype(np.int64) for c in odd[:DEPTH]]
+
+
 class Weights:
-    """idf of shingles: those counted, and all others alike."""
+    """idf of shingles out of a sketch of their document frequencies (DEPTH by WIDTH) in n texts."""
 
-    def __init__(self, shingles: np.ndarray, counts: np.ndarray, n: int, floor: float):
-        order = np.argsort(shingles)
-        self.known = shingles[order]
-        df = np.maximum(counts[order], floor)
-        self.idf = (np.log10((1 + n) / (1 + df)) + 1).astype(np.float32)
-        self.rest = np.float32(math.log10((1 + n) / (1 + floor)) + 1)
+    def __init__(self, counts: np.ndarray, n: int):
+        self.n = n
+        self.idf = (np.log10((1 + n) / (1 + np.maximum(counts, 1))) + 1).astype(np.float32)
 
     def of(self, shingles: np.ndarray) -> np.ndarray:
-        out = np.full(len(shingles), self.rest, np.float32)
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-            hit = self.known[at] == shingles
-            out[hit] = self.idf[at[hit]]
-        return out
+        return np.maximum.reduce([row[at] for row, at in zip(self.idf, _cells(shingles), strict=True)])  # the least count
 
 
 _gamma: list[np.ndarray] = []
@@ -205,79 +206,148 @@ def similarity(a: list[str | None], b: list[str | None], weights: Weights) -> np
     return np.divide(both, total - both, out=np.zeros(n), where=total > both) if n else np.zeros(0)
 
 
-def _batches(batch: pa.RecordBatch, rows: int = 2000):
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def _encode(counts: np.ndarray) -> bytes:
+    """Counters of a block, all of them or with their places, in as few bytes each as the largest needs."""
+    at = np.flatnonzero(counts)
+    size = next(b for b in (1, 2, 4, 8) if b == 8 or counts.max(initial=0) < 1 << 8 * b)
+    if len(at) * (2 + size) < len(counts) * size:
+        return bytes([size, 1]) + len(at).to_bytes(4, "little") + at.astype("<u2").tobytes() + counts[at].astype(f"<u{size}").tobytes()
+    return bytes([size, 0]) + counts.astype(f"<u{size}").tobytes()
+
+
+def _add(counts: np.ndarray, data: bytes) -> None:
+    size = data[0]
+    if data[1]:
+        n = int.from_bytes(data[2:6], "little")
+        counts[np.frombuffer(data, "<u2", n, 6)] += np.frombuffer(data, f"<u{size}", n, 6 + 2 * n).astype(np.int64)
+    else:
+        counts += np.frombuffer(data, f"<u{size}", len(counts), 2).astype(np.int64)
 
 
-def _local(batches):
-    """The shingles that COMMON of some COUNTED texts have. One that COMMON of all have is among those of at least one such part."""
+_SUMS = ["block", "part", "texts", "data"], [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+_SUMS_DDL = "block int, part int, texts long, data binary"
 
-    def common(texts):
-        _, sh, _ = shingle_sets(texts)
-        u, c = np.unique(sh, return_counts=True)
-        u = u[c >= COMMON * len(texts) - 1e-6]
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64))], ["s"])
 
-    held: list[str] = []
+def _block_rows(blocks: dict[int, np.ndarray], part: int, texts: int):
+    """A row a block; block -1 tells the texts."""
+    rows = [(-1, part, texts, b""), *((b, part, 0, _encode(c)) for b, c in blocks.items() if c.any())]
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _SUMS[1], strict=True)], _SUMS[0])
+
+
+def _counted(batches):
+    """A task's sketch: on how many of its texts each shingle is."""
+    from pyspark import TaskContext
+
+    sums, texts = np.zeros((DEPTH, WIDTH), np.int64), 0
     for batch in batches:
-        for part in _batches(batch):
-            held += part.column(0).to_pylist()
-            if len(held) >= 2 * COUNTED:
-                yield common(held[:COUNTED])
-                held = held[COUNTED:]
-    if held:
-        yield common(held)
+        for part in pieces_of(batch, 0):
+            owner, sh, _ = shingle_sets(part.column(0).to_pylist())
+            texts += len(np.unique(owner))
+            for row, at in zip(sums, _cells(sh), strict=True):
+                row += np.bincount(at, minlength=WIDTH)
+    if texts:
+        context = TaskContext.get()
+        yield from _block_rows(dict(enumerate(sums.reshape(-1, BLOCK_OF))), (context.partitionId() if context else 0) % MERGED, texts)
+
+
+def _summed(batches):
+    blocks: dict[int, np.ndarray] = {}
+    texts = 0
+    for batch in batches:
+        for block, n, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            texts += n
+            if block >= 0:
+                _add(blocks.setdefault(block, np.zeros(BLOCK_OF, np.int64)), data)
+    if blocks or texts:
+        yield from _block_rows(blocks, 0, texts)
+
 
+def plain_samples(owner: np.ndarray, shingles: np.ndarray, n: int) -> np.ndarray:
+    """SAMPLES MinHash values of each text's set, times aside (n by SAMPLES); texts without shingles have 0."""
+    out = np.zeros((n, SAMPLES), _U)
+    if len(owner):
+        begin = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        for k in range(SAMPLES):
+            x = (shingles + _U(k * 0xD1342543DE82EF95 + 0x2545F4914F6CDD1D & (1 << 64) - 1)) * _U(0xD6E8FEB86659FD93)
+            x ^= x >> _U(32)
+            x *= _U(0xD6E8FEB86659FD93)
+            out[owner[begin], k] = np.minimum.reduceat(x, begin)
+    return out
 
-def common_weights(spark, texts: DataFrame) -> Weights:
-    """Exact frequencies over all texts (one of each group) of the shingles that at least COMMON of them have."""
-    n = texts.count()
-    found = np.sort(np.array([r.s for r in texts.select("text").mapInArrow(_local, "s long").distinct().collect()], np.int64).view(_U))
-    held = spark.sparkContext.broadcast(found)
 
-    def count(batches):
-        known = held.value
-        sums = np.zeros(len(known), np.int64)
-        for batch in batches:
-            for part in _batches(batch):
-                _, sh, _ = shingle_sets(part.column(0).to_pylist())
-                at = np.minimum(np.searchsorted(known, sh), len(known) - 1)
-                sums += np.bincount(at[known[at] == sh], minlength=len(known))
-        some = sums > 0
-        yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(sums[some])], ["s", "n"])
-
-    rows = []
-    if len(found):
-        rows = texts.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON * n - 1e-6).collect()
-    return Weights(np.array([r.s for r in rows], np.int64).view(_U), np.array([r.n for r in rows], np.float64), n, COMMON * n)
-
-
-def fit_weights(spark, rows: DataFrame, n: int) -> Weights:
-    """The weights that near_classes finds for rows of rid and text."""
-    scratch = Scratch(spark, "idf")
-    rows, n = numbered(scratch, rows.select(rows["rid"].alias("doc_id"), "text"), "doc_id")
-    weights, _ = _fitted(spark, scratch, rows, n)
-    scratch.close()
-    return weights
-
-
-def _fitted(spark, scratch: Scratch, rows: DataFrame, n: int):
-    """Weights, and (sketch, groups, label) by plain counts."""
-    flat = Weights(np.zeros(0, _U), np.zeros(0), n, COMMON * n)
-    sketch, groups, label = _linked(spark, scratch, rows, flat)
-    first = groups.select(F.col("first.rid").alias("rid")).join(label.select(F.col("u").alias("rid"), F.col("v").alias("l")), "rid", "left")
-    heads = first.where(F.coalesce("l", "rid") == F.col("rid")).select("rid")
-    texts = scratch.table(rows.select("rid", "text").join(heads, "rid", "left_semi").select("text"), "heads")
-    weights = common_weights(spark, texts)
-    scratch.drop("heads")
-    return weights, (sketch, groups, label)
+def signatures(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Four bits of each sample, as two numbers a text."""
+    nibble = mix64(samples) & _U(15)
+    shift = _U(4) * np.arange(16, dtype=_U)
+    return tuple(np.bitwise_or.reduce(part << shift[: part.shape[1]], axis=1).view(np.int64) for part in (nibble[:, :16], nibble[:, 16:]))
+
+
+def bands(samples: np.ndarray) -> np.ndarray:
+    """Bucket keys of each text (n by BANDS)."""
+    n = len(samples)
+    s = samples.reshape(n, BANDS, ROWS)
+    key = np.tile(np.arange(BANDS, dtype=_U) + _U(1), (n, 1))
+    for i in range(ROWS):
+        key = mix64(key * _U(0x9E3779B97F4A7C15) + s[:, :, i])
+    return key.view(np.int64)
+
+
+def _lists(keys: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+
+
+def agreeing(s1: str, s2: str, t1: str, t2: str) -> Column:
+    """The samples of two signatures that agree in their four bits."""
+
+    def differ(a, b):
+        x = F.col(a).bitwiseXOR(F.col(b))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.lit(SAMPLES) - differ(s1, t1) - differ(s2, t2)
+
+
+def _plain(batches):
+    for batch in batches:
+        for part in pieces_of(batch, 1):
+            owner, sh, _ = shingle_sets(part.column(1).to_pylist())
+            samples = plain_samples(owner, sh, part.num_rows)
+            some = pa.array(np.bincount(owner, minlength=part.num_rows) > 0)
+            rows = pa.RecordBatch.from_arrays([part.column(0), _lists(bands(samples)), *map(pa.array, signatures(samples))], ["rid", "keys", "s1", "s2"])
+            yield rows.filter(some)
+
+
+def _buckets(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("rid", "s1", "s2", *more, F.posexplode("keys").alias("band", "key"))
+
+
+def fit_weights(spark, scratch: Scratch, rows: DataFrame) -> Weights:
+    """idf over rows of rid and text."""
+    plain = scratch.table(rows.select("rid", "text").mapInArrow(_plain, "rid long, keys array<long>, s1 long, s2 long"), "plain")
+    lead = _buckets(plain).groupBy("key").agg(F.min(F.struct("rid", "s1", "s2")).alias("of"), F.count("*").alias("n")).where(F.col("n") > 1)
+    lead = scratch.table(lead.select("key", F.col("of.rid").alias("v"), F.col("of.s1").alias("t1"), F.col("of.s2").alias("t2")), "plain-lead")
+    met = _buckets(plain).join(lead.hint("merge"), "key").where(F.col("rid") != F.col("v"))
+    follow = met.where(agreeing("s1", "s2", "t1", "t2") >= FOLLOW).select("rid").distinct()
+    heads = rows.select("rid", "text").join(follow.hint("merge"), "rid", "left_anti").select("text")
+    sums = heads.mapInArrow(_counted, _SUMS_DDL).repartition("block", "part").mapInArrow(_summed, _SUMS_DDL).repartition("block").mapInArrow(_summed, _SUMS_DDL)
+    counts, n = np.zeros((DEPTH * WIDTH // BLOCK_OF, BLOCK_OF), np.int64), 0
+    for r in sums.collect():  # one row a block, and the texts of each task: at most DEPTH * WIDTH counters
+        n += r.texts
+        if r.block >= 0:
+            _add(counts[r.block], r.data)
+    for name in ("plain", "plain-lead"):
+        scratch.drop(name)
+    return Weights(counts.reshape(DEPTH, WIDTH), n)
+
+
+_SKETCH = "ord long, rid long, f1 long, f2 long, keys array<long>, s1 long, s2 long, some boolean"
 
 
 def _sketched(held):
     def run(batches):
         for batch in batches:
-            for part in _batches(batch):
+            for part in pieces_of(batch, 2):
                 owner, sh, times = shingle_sets(part.column(2).to_pylist())
                 n = part.num_rows
                 samples = weighted_samples(owner, sh, times * held.value.of(sh), n)
@@ -289,55 +359,33 @@ def _sketched(held):
                         s[owner[begin]] = np.add.reduceat(x, begin)
                 some = np.bincount(owner, minlength=n) > 0
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([s.tobytes() for s in samples], pa.binary()), pa.array(some)],
-                    ["ord", "rid", "f1", "f2", "samples", "some"],
+                    [part.column(0), part.column(1), *(pa.array(s.view(np.int64)) for s in sums), _lists(bands(samples)), *map(pa.array, signatures(samples)), pa.array(some)],
+                    [c.split()[0] for c in _SKETCH.split(", ")],
                 )
 
     return run
 
 
-def _banded(batches):
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        s = np.frombuffer(b"".join(batch.column(1).to_pylist()), _U).reshape(n, BANDS, ROWS)
-        key = np.tile(np.arange(BANDS, dtype=_U) + _U(1), (n, 1))
-        for i in range(ROWS):
-            key = mix64(key * _U(0x9E3779B97F4A7C15) + s[:, :, i])
-        rid = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-        band = np.tile(np.arange(BANDS, dtype=np.int32), n)
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(rid)], ["key", "band", "rid"])
-
-
-def _agreeing(batches):
-    """Pairs of which the samples agree often enough."""
-    for batch in batches:
-        n = batch.num_rows
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), _U).reshape(n, SAMPLES) for i in (2, 3))
-        good = pa.array((a == b).sum(axis=1) >= AGREE)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["u", "v"])
-
-
 def _verified(held):
     def run(batches):
         for batch in batches:
-            for part in _batches(batch):
+            for part in pieces_of(batch, 2, 1000):
                 good = pa.array(similarity(part.column(2).to_pylist(), part.column(3).to_pylist(), held.value) >= LEAST - 1e-9)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], ["u", "v"])
 
-    return run
+    return lambda batches: forest(run(batches))
 
 
-def _root(up: dict[int, int], x: int) -> int:
-    while (y := up.get(x, x)) != x:
-        up[x] = up.get(y, y)
-        x = y
-    return x
+def unpacked(s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+    """The four bits of each sample (n by SAMPLES)."""
+    shift = _U(4) * np.arange(16, dtype=_U)
+    both = [s.astype(np.int64).view(_U)[:, None] >> shift & _U(15) for s in (s1, s2)]
+    return np.concatenate(both, axis=1)[:, :SAMPLES].astype(np.uint8)
 
 
-def block_links(rid, label, band: int, left, right, samples, owner_sets) -> list[tuple[int, int]]:
-    """Links of a block pair that join classes. left and right say which side a text is on; -1: the block with itself."""
+def block_links(rid, label, band: int, left, right, keys, marks, owner_sets) -> list[tuple[int, int]]:
+    """Links of a block pair that join classes. left and right say which side a text is on; -1: the block with itself. keys and marks are
+    the texts' bucket keys and unpacked signatures."""
     starts, sizes, ids, weights = owner_sets
     total = np.add.reduceat(weights, starts)
     dense = np.zeros(int(ids.max()) + 1)
@@ -350,9 +398,9 @@ def block_links(rid, label, band: int, left, right, samples, owner_sets) -> list
         other = np.flatnonzero((own != own[i]) & ((places > i) if one else (right != 0)))
         if not len(other):
             continue
-        same = samples[other] == samples[i]
-        first = same.reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1)  # they share this band, so there is one
-        other = other[(same.sum(axis=1) >= AGREE) & (first == band)]
+        other = other[(marks[other] == marks[i]).sum(axis=1) >= AGREE]
+        first = (keys[other] == keys[i]).argmax(axis=1)  # they share this band, so there is one
+        other = other[first == band]
         if not len(other):
             continue
         mine = slice(starts[i], starts[i] + sizes[i])
@@ -363,21 +411,22 @@ def block_links(rid, label, band: int, left, right, samples, owner_sets) -> list
         dense[ids[mine]] = 0
         joined = False
         for j in other[both / (total[i] + total[other] - both) >= LEAST - 1e-9]:
-            a, b = _root(up, int(label[i])), _root(up, int(label[j]))
+            a, b = root(up, int(label[i])), root(up, int(label[j]))
             if a != b:
                 up[max(a, b)] = min(a, b)
                 found.append((int(rid[i]), int(rid[j])))
                 joined = True
         if joined:
-            own = np.array([_root(up, int(x)) for x in label])
+            own = np.array([root(up, int(x)) for x in label])
     return found
 
 
 def _across(held):
     def run(table: pa.Table) -> pa.Table:
         key, x, y = (table.column(c).to_numpy() for c in ("key", "x", "y"))
-        rid, label, band, left, right = (table.column(c).to_numpy() for c in ("rid", "label", "band", "left", "right"))
-        samples = np.frombuffer(b"".join(table.column("samples").to_pylist()), _U).reshape(len(rid), SAMPLES)
+        rid, label, band, left, right, s1, s2 = (table.column(c).to_numpy() for c in ("rid", "label", "band", "left", "right", "s1", "s2"))
+        keys = np.array(table.column("keys").to_pylist(), np.int64).reshape(len(rid), BANDS)
+        marks = unpacked(s1, s2)
         texts = table.column("text").to_pylist()
         order = np.lexsort((rid, y, x, key))
         new = np.flatnonzero(np.concatenate(([True], (np.diff(key[order]) != 0) | (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0))))
@@ -387,7 +436,7 @@ def _across(held):
             _, ids = np.unique(sh, return_inverse=True)
             starts = np.searchsorted(owner, np.arange(len(part)))
             sets = starts, np.diff(np.concatenate((starts, [len(owner)]))), ids, times * held.value.of(sh).astype(np.float64)
-            out += block_links(rid[part], label[part], int(band[part[0]]), left[part], right[part], samples[part], sets)
+            out += block_links(rid[part], label[part], int(band[part[0]]), left[part], right[part], keys[part], marks[part], sets)
         return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
     return run
@@ -396,25 +445,22 @@ def _across(held):
 def near_classes(spark, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the smallest id of its class), class_size, kept (whether it is the row that stays)."""
     scratch = Scratch(spark, "near")
-    rows, n = numbered(scratch, docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), "doc_id")
-    return classes_of(spark, scratch, rows, n)
+    rows, _ = numbered(scratch, slim(docs, id_col, text_col))
+    return classes_of(spark, scratch, rows).drop("rid")
 
 
-def classes_of(spark, scratch: Scratch, rows: DataFrame, n: int) -> DataFrame:
+def classes_of(spark, scratch: Scratch, rows: DataFrame) -> DataFrame:
     """near_classes for rows as numbered() returns them, with rid beside."""
-    plain = Scratch(spark, "plain")
-    weights, (sketch, groups, label) = _fitted(spark, plain, rows, n)
-    if len(weights.known):
-        plain.close()
-        sketch, groups, label = _linked(spark, scratch, rows, weights)
+    weights = spark.sparkContext.broadcast(fit_weights(spark, scratch, rows))
+    sketch, groups, label = _linked(scratch, rows, weights)
 
     # copies get the class of their representative; then the smallest id of each class, by order
     named = groups.select("f1", "f2", "copies", F.col("first.ord").alias("o"), F.col("first.rid").alias("r"))
-    named = named.join(label.select(F.col("u").alias("r"), F.col("v").alias("l")), "r", "left").withColumn("l", F.coalesce("l", "r"))
+    named = named.join(label.select(F.col("u").alias("r"), F.col("v").alias("l")).hint("merge"), "r", "left").withColumn("l", F.coalesce("l", "r"))
     named = scratch.table(named, "labels")
-    heads = named.groupBy("l").agg(F.min(F.struct("o", "r")).alias("h"), F.sum("copies").alias("class_size"))
-    of_group = salted_join(named, heads, ["l"], ["r"], SALTS).select("f1", "f2", F.col("h.r").alias("head"), F.col("h.o").alias("head_ord"), "class_size")
-    member = sketch.where("some").select("ord", "rid", "f1", "f2").join(of_group, ["f1", "f2"]).select("ord", "rid", "head", "head_ord", "class_size")
+    heads = scratch.table(named.groupBy("l").agg(F.min(F.struct("o", "r")).alias("h"), F.sum("copies").alias("class_size")), "class-heads")
+    of_group = named.join(heads.hint("merge"), "l").select("f1", "f2", F.col("h.r").alias("head"), F.col("h.o").alias("head_ord"), "class_size")
+    member = sketch.where("some").select("ord", "rid", "f1", "f2").join(of_group.hint("merge"), ["f1", "f2"]).select("ord", "rid", "head", "head_ord", "class_size")
     alone = sketch.where("NOT some").select("ord", "rid", F.col("rid").alias("head"), F.col("ord").alias("head_ord"), F.lit(1).cast("long").alias("class_size"))
     null_id = (1 << 63) - 1
     back = lambda c: F.when(F.col(c) != null_id, F.col(c))
@@ -423,62 +469,61 @@ def classes_of(spark, scratch: Scratch, rows: DataFrame, n: int) -> DataFrame:
     )
 
 
-def _linked(spark, scratch: Scratch, rows: DataFrame, weights: Weights):
-    """(sketch, groups of equal sets, label of the groups' first rows) by the weights."""
-    weights = spark.sparkContext.broadcast(weights)
+def _linked(scratch: Scratch, rows: DataFrame, weights):
+    """(sketch, groups of equal sets, label of the groups' first rows) by the broadcast weights."""
     texts = rows.select("rid", "text")
-    sketch = scratch.table(
-        rows.select("ord", "rid", "text").mapInArrow(_sketched(weights), "ord long, rid long, f1 long, f2 long, samples binary, some boolean"), "sketch"
-    )
-    least = F.min(F.struct("ord", "rid", "samples"))
+    sketch = scratch.table(rows.select("ord", "rid", "text").mapInArrow(_sketched(weights), _SKETCH), "sketch")
+    least = F.min(F.struct("ord", "rid", "keys", "s1", "s2"))
     groups = scratch.table(sketch.where("some").groupBy("f1", "f2").agg(least.alias("first"), F.count("*").alias("copies")), "groups")
-    first = groups.select("first.rid", "first.samples")
-    bands = scratch.table(first.select("rid", "samples").mapInArrow(_banded, "key long, band int, rid long"), "bands")
-
-    lead = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("rid", "key").alias("o"), "rid")).alias("lead"), F.count("*").alias("n")).where(F.col("n") > 1)
-    lead = lead.select("key", F.col("lead.rid").alias("v"))
-    pairs = salted_join(bands, lead, ["key"], ["rid"], SALTS).where(F.col("rid") != F.col("v")).select(F.greatest("rid", "v").alias("u"), F.least("rid", "v").alias("v")).distinct()
-
-    def sampled(pairs: DataFrame) -> DataFrame:
-        a, b = (first.select(F.col("rid").alias(c), F.col("samples").alias("s" + c)) for c in "uv")
-        return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(_agreeing, "u long, v long")
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        a, b = (texts.select(F.col("rid").alias(c), F.col("text").alias("t" + c)) for c in "uv")
-        both = pairs.join(a, "u").join(b, "v").select("u", "v", "tu", "tv")
-        return scratch.table(both.mapInArrow(_verified(weights), "u long, v long"), name)
-
-    links = linked(scratch.table(sampled(pairs), "pairs0"), "links0")
-    label = components(scratch, links, "c0")
-    named = bands.join(label.select(F.col("u").alias("rid"), F.col("v").alias("l")), "rid", "left").select("key", "band", "rid", F.coalesce("l", "rid").alias("label"))
+    first = groups.select("first.rid", "first.keys", "first.s1", "first.s2")
+
+    own = F.struct("rid", "s1", "s2")
+    lead = _buckets(first).groupBy("key").agg(F.min(own).alias("a"), F.min(F.struct(F.xxhash64("rid", "key"), own.alias("of"))).alias("b"), F.count("*").alias("n")).where(F.col("n") > 1)
+    lead = scratch.table(lead.select("key", F.array_distinct(F.array("a", "b.of")).alias("leads")), "lead")
+    met = _buckets(first).join(lead.hint("merge"), "key").select("rid", "s1", "s2", F.explode("leads").alias("of"))
+    met = met.select("rid", "s1", "s2", F.col("of.rid").alias("v"), F.col("of.s1").alias("t1"), F.col("of.s2").alias("t2")).where(F.col("rid") != F.col("v"))
+    pairs = met.where(agreeing("s1", "s2", "t1", "t2") >= AGREE).select(F.greatest("rid", "v").alias("u"), F.least("rid", "v").alias("v")).distinct()
+    a, b = (texts.select(F.col("rid").alias(c), F.col("text").alias("t" + c)) for c in "uv")
+    both = scratch.table(pairs, "pairs").join(b.hint("merge"), "v").join(a.hint("merge"), "u").select("u", "v", "tu", "tv")
+    label = components(scratch, both.mapInArrow(_verified(weights), "u long, v long"), "c0")
+
+    named = first.join(label.select(F.col("u").alias("rid"), F.col("v").alias("l")).hint("merge"), "rid", "left").withColumn("label", F.coalesce("l", "rid")).drop("l")
     named = scratch.table(named, "named")
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where(F.col("low") != F.col("high"))
-    mixed = scratch.table(mixed.select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
-    if inside := mixed.agg(F.sum("n")).head()[0]:
-        groups_n = inside // TOGETHER + 1
-        member = named.join(mixed, "key").withColumn("b", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-        part = member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mixed = _buckets(named, "label").groupBy("key", "label").count().groupBy("key")
+    mixed = mixed.agg(F.max(F.struct("count", "label")).alias("big"), F.sum("count").alias("n"), F.count("*").alias("labels")).where(F.col("labels") > 1)
+    seen = Observation()
+    mixed = mixed.select("key", F.col("big.label").alias("big"), F.col("big.count").alias("n_big"), (F.col("n") - F.col("big.count")).alias("n_rest"))
+    mixed = scratch.table(mixed.observe(seen, F.sum(F.col("n_big") + F.col("n_rest")).alias("n")), "mixed")
+    if inside := seen.get["n"]:
+        blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+        member = _buckets(named, "label", "keys").join(mixed.hint("merge"), "key").withColumns({"nr": blocks("n_rest"), "nb": blocks("n_big"), "rest": F.col("label") != F.col("big")})
+        # blocks 0..nr-1 hold the texts outside of the largest class, the next nb those in it, which are compared with the others only
+        b = F.when(F.col("rest"), F.pmod(F.xxhash64("rid"), F.col("nr"))).otherwise(F.col("nr") + F.pmod(F.xxhash64("rid"), F.col("nb"))).cast("int")
+        part = member.withColumn("b", b).withColumn("o", F.explode(F.sequence(F.lit(0), F.when(F.col("rest"), F.col("nr") + F.col("nb")).otherwise(F.col("nr")) - 1)))
         low, high = F.least("b", "o"), F.greatest("b", "o")
         part = part.select(
-            "key", "band", "rid", "label", low.alias("x"), high.alias("y"),
+            "key", "band", "rid", "label", "keys", "s1", "s2", low.alias("x"), high.alias("y"),
             F.when(F.col("b") == F.col("o"), -1).when(F.col("b") < F.col("o"), 1).otherwise(0).alias("left"),
             F.when(F.col("b") > F.col("o"), 1).otherwise(0).alias("right"),
-            F.when(F.col("blocks") == 1, F.pmod("key", F.lit(groups_n))).otherwise(F.xxhash64("key", low, high)).alias("g"),
+            F.when((F.col("nr") == 1) & (F.col("nb") == 1), F.pmod("key", F.lit(inside // TOGETHER + 1))).otherwise(F.xxhash64("key", low, high)).alias("g"),
         )
-        whole = part.join(first, "rid").join(texts, "rid").select("g", "key", "x", "y", "band", "rid", "label", "left", "right", "samples", "text")
+        whole = part.join(texts.hint("merge"), "rid").select("g", "key", "x", "y", "band", "rid", "label", "left", "right", "keys", "s1", "s2", "text")
         more = whole.groupBy("g").applyInArrow(_across(weights), "u long, v long")
-        label = components(scratch, label.unionByName(scratch.table(more, "more")), "c1")
+        label = components(scratch, label.unionByName(more), "c1")
+    for name in ("lead", "pairs", "mixed", "named"):
+        scratch.drop(name)
     return sketch, groups, label
 
 
 def keep_first(spark, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay: one of each class, the first."""
     scratch = Scratch(spark, "near")
-    rows, n = numbered(scratch, docs.withColumn("doc_id", docs[id_col]).withColumn("text", docs[text_col]), "doc_id")
-    kept = classes_of(spark, scratch, rows, n).where("kept").select("rid")
-    return rows.join(kept, "rid").select(*[f"`{c}`" for c in docs.columns])
+    rows, _ = numbered(scratch, slim(docs, id_col, text_col, carry=True))
+    kept = classes_of(spark, scratch, rows).where("kept").select("rid")
+    kept = rows.join(kept.hint("merge"), "rid")
+    return kept.select(*carried(kept, docs))
 
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_classes(spark, docs).select("doc_id", "class_id", "class_size", "kept")
+    return near_classes(spark, docs)
