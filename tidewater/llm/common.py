@@ -112,7 +112,24 @@ def hash_limit(rows: int, n: int) -> int:
     return (1 << 63) - 1 if rows >= n else max((1 << 64) * rows // n - (1 << 63) - 1, -(1 << 63))
 
 
-def pieces_of(batch, column: int, rows: int = 2000, most: int = 16 << 20):
+def tidy(run):
+    """A function over Arrow batches that gives freed memory back to the system when its task ends: workers live on, and what they hold counts as their
+    executor's."""
+
+    def tidied(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+    return tidied
+
+
+def pieces_of(batch, column: int, rows: int = 2000, most: int = 4 << 20):
     """Slices of an Arrow batch with at most ``rows`` rows and, but for one long text, ``most`` bytes of text in a column."""
     import pyarrow.compute as pc
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WORD_BYTES, Scratch, carried, mix64, numbered, pieces_of, slim
+from tidewater.llm.common import WORD_BYTES, Scratch, carried, mix64, numbered, pieces_of, slim, tidy
 from tidewater.llm.components import components, forest, root
 from tidewater.llm.suffix_dedup import Hashes
 
@@ -324,13 +324,13 @@ def _buckets(rows: DataFrame, *more: str) -> DataFrame:
 
 def fit_weights(spark, scratch: Scratch, rows: DataFrame) -> Weights:
     """idf over rows of rid and text."""
-    plain = scratch.table(rows.select("rid", "text").mapInArrow(_plain, "rid long, keys array<long>, s1 long, s2 long"), "plain")
+    plain = scratch.table(rows.select("rid", "text").mapInArrow(tidy(_plain), "rid long, keys array<long>, s1 long, s2 long"), "plain")
     lead = _buckets(plain).groupBy("key").agg(F.min(F.struct("rid", "s1", "s2")).alias("of"), F.count("*").alias("n")).where(F.col("n") > 1)
     lead = scratch.table(lead.select("key", F.col("of.rid").alias("v"), F.col("of.s1").alias("t1"), F.col("of.s2").alias("t2")), "plain-lead")
     met = _buckets(plain).join(lead.hint("merge"), "key").where(F.col("rid") != F.col("v"))
     follow = met.where(agreeing("s1", "s2", "t1", "t2") >= FOLLOW).select("rid").distinct()
     heads = rows.select("rid", "text").join(follow.hint("merge"), "rid", "left_anti").select("text")
-    sums = heads.mapInArrow(_counted, _SUMS_DDL).repartition("block", "part").mapInArrow(_summed, _SUMS_DDL).repartition("block").mapInArrow(_summed, _SUMS_DDL)
+    sums = heads.mapInArrow(tidy(_counted), _SUMS_DDL).repartition("block", "part").mapInArrow(_summed, _SUMS_DDL).repartition("block").mapInArrow(_summed, _SUMS_DDL)
     counts, n = np.zeros((DEPTH * WIDTH // BLOCK_OF, BLOCK_OF), np.int64), 0
     for r in sums.collect():  # one row a block, and the texts of each task: at most DEPTH * WIDTH counters
         n += r.texts
@@ -373,7 +373,7 @@ def _verified(held):
                 good = pa.array(similarity(part.column(2).to_pylist(), part.column(3).to_pylist(), held.value) >= LEAST - 1e-9)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], ["u", "v"])
 
-    return lambda batches: forest(run(batches))
+    return tidy(lambda batches: forest(run(batches)))
 
 
 def unpacked(s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
@@ -472,7 +472,7 @@ def classes_of(spark, scratch: Scratch, rows: DataFrame) -> DataFrame:
 def _linked(scratch: Scratch, rows: DataFrame, weights):
     """(sketch, groups of equal sets, label of the groups' first rows) by the broadcast weights."""
     texts = rows.select("rid", "text")
-    sketch = scratch.table(rows.select("ord", "rid", "text").mapInArrow(_sketched(weights), _SKETCH), "sketch")
+    sketch = scratch.table(rows.select("ord", "rid", "text").mapInArrow(tidy(_sketched(weights)), _SKETCH), "sketch")
     least = F.min(F.struct("ord", "rid", "keys", "s1", "s2"))
     groups = scratch.table(sketch.where("some").groupBy("f1", "f2").agg(least.alias("first"), F.count("*").alias("copies")), "groups")
     first = groups.select("first.rid", "first.keys", "first.s1", "first.s2")
