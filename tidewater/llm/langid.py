@@ -6,8 +6,9 @@ against each profile: the out-of-place distance adds, for each n-gram, how far i
 the profile's, or ``TOP`` if the profile lacks it. The least distance wins; ties go to the language that comes
 first by code point. The score is ``1 - least / next`` (with one language: next is the largest possible).
 
-Profiles are fitted on a bounded sample, ``FIT_ROWS`` labelled documents a language in expectation, chosen by a hash of the
-id; n-grams are counted in the executors, and the driver gets ``TOP`` rows a language. Prediction is a map.
+Profiles are fitted on a bounded sample, ``FIT_ROWS`` labelled documents a language in expectation at any number of documents, chosen by a 64-bit
+hash of the id; n-grams are counted in the executors, and the driver gets ``TOP`` rows a language. Prediction is a map. More than
+``MAX_LANGS`` languages raise ValueError.
 
 Defined results: null text, or one without a letter, is ``und`` with score 0; so is every text when
 there is nothing to learn from; null ids are neither learned from nor held out; repeated rows are
@@ -18,15 +19,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import PIECE, crc_mod, ngram_levels, text_pieces
+from tidewater.llm.common import PIECE, crc_mod, hash_limit, ngram_levels, text_pieces, tidy
 
 TOP = 300
 MOST = 5
 FIT_ROWS = 3000
-MAX_LANGS = 1000
+#: More than there are language codes; what is collected and broadcast is TOP n-grams of each.
+MAX_LANGS = 10_000
 _letters: list[np.ndarray] = []
 
 
@@ -101,8 +103,8 @@ def fit_profiles(docs: DataFrame, *, top: int = TOP, fit_rows: int = FIT_ROWS, i
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not sizes:
         return Profiles({}, top)
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(1_000_000 * min(1.0, fit_rows / n)))]), F.col("lang"))
-    sample = known.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("fit")), F.lit(1_000_000)) < share)
+    most = docs.sparkSession.createDataFrame([(lang, hash_limit(fit_rows, n)) for lang, n in sizes.items()], "lang string, most long")
+    sample = known.join(F.broadcast(most), "lang").where(F.xxhash64(F.col("id").cast("string"), F.lit("fit")) <= F.col("most"))
 
     def count(batches):
         for batch in batches:
@@ -114,18 +116,13 @@ def fit_profiles(docs: DataFrame, *, top: int = TOP, fit_rows: int = FIT_ROWS, i
                 n = np.bincount(at, np.concatenate([g[1] for g in got])).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(h.view(np.int64)), pa.array(n)], ["lang", "h", "n"])
 
-    grams = sample.select("text", "lang").mapInArrow(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+    grams = sample.select("text", "lang").mapInArrow(tidy(count), "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
     # unsigned order of hashes, as in ranked()
     order = (-F.col("n"), F.col("h") < 0, F.col("h"))
     out: dict[str, list[int]] = {lang: [] for lang in sizes}
-    for lang in sizes:
-        out[lang] = [r.h for r in grams.where(F.col("lang") == lang).orderBy(*order).limit(top).collect()] if len(sizes) == 1 else []
-    if len(sizes) > 1:
-        from pyspark.sql import Window
-
-        best = grams.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= top)
-        for r in sorted(best.collect(), key=lambda r: r.r):
-            out[r.lang].append(r.h)
+    best = grams.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= top)
+    for r in sorted(best.collect(), key=lambda r: r.r):
+        out[r.lang].append(r.h)
     return Profiles(out, top)
 
 
@@ -143,7 +140,7 @@ def identify(spark, docs: DataFrame, profiles: Profiles, id_col: str = "doc_id",
             )
 
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.coalesce(crc_mod(docs[id_col], 5) == 0, F.lit(False)).alias("held_out"))
-    return slim.mapInArrow(run, f"doc_id {slim.schema[0].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return slim.mapInArrow(tidy(run), f"doc_id {slim.schema[0].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def op8_langid(spark, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ Features of a text, over all of it: each word, each pair of equal neighbouring w
 the character n-grams (n = 2..4) inside words, white space counting as a word's end. Each is hashed to one of ``BUCKETS`` learned vectors; their mean
 goes through a softmax over two classes. Training is stochastic gradient descent in numpy on the driver.
 
-The fit takes a bounded sample, about ``FIT_ROWS`` labelled documents of each class, chosen by a hash of the id,
-texts up to ``FIT_CHARS`` characters. With two classes the score of a mean is the mean of one number for
+The fit takes a bounded sample, about ``FIT_ROWS`` labelled documents of each class at any number of labels, chosen by a 64-bit hash of the id,
+texts up to ``FIT_CHARS`` characters; of rows with one id the least text. With two classes the score of a mean is the mean of one number for
 each bucket, so scoring is one table look-up per feature, in numpy over whole batches; the
 table (1 MB) is what is broadcast.
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import crc_mod, ngram_levels, text_pieces
+from tidewater.llm.common import crc_mod, hash_limit, ngram_levels, text_pieces, tidy
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -118,16 +118,17 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarra
 def fit_quality(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, float]:
     """The model, from a bounded sample of the labelled rows of docs."""
     own = labels.where(labels[label_col].isin(0, 1)).groupBy(labels[id_col].alias("id")).agg(F.min(label_col).alias("label"))
-    pick = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("fit")), F.lit(1_000_000))
     sizes = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.lit(False), 0)
+    most = F.lit(None).cast("long")
     for label, n in sizes.items():
-        share = share.when(F.col("label") == label, int(1_000_000 * min(1.0, fit_rows / n)))
-    chosen = own.where(pick < share)
+        most = F.when(F.col("label") == label, F.lit(hash_limit(fit_rows, n))).otherwise(most)
+    chosen = own.where(F.xxhash64(F.col("id").cast("string"), F.lit("fit")) <= most)
     rows = (
         docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
         .where(F.col("text").isNotNull() & (F.char_length("text") <= fit_chars))
         .join(F.broadcast(chosen), "id")  # about two times fit_rows ids
+        .groupBy("id", "label")
+        .agg(F.min("text").alias("text"))  # an id may be on any number of rows
         .collect()
     )
     rows.sort(key=lambda r: (r.id, r.text))
@@ -150,9 +151,9 @@ def score_quality(spark, docs: DataFrame, model: tuple[np.ndarray, float], *, id
             )
 
     if keep is not None:
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(tidy(run), docs.schema)
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias(text_col), F.coalesce(crc_mod(docs[id_col], 4) == 2, F.lit(False)).alias("held_out"))
-    return slim.mapInArrow(run, f"doc_id {slim.schema[0].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return slim.mapInArrow(tidy(run), f"doc_id {slim.schema[0].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def learned(spark, docs: DataFrame, sf_dir: str) -> tuple[np.ndarray, float]:
