@@ -10,13 +10,15 @@ is one further, fractional repetition: the documents that come first in a seeded
 the one in the middle of which the rest ends (it goes in if more than half of it fits). So the
 words taken differ from the target by at most half a document.
 
-Scale: documents shuffle once, by (source, hash bucket), so a source with a third of all rows lies
-in ``BUCKETS`` groups. Running sums go over buckets, then within a bucket. Per-source figures are
-computed on pre-aggregated rows.
+Scale: texts are read once: sizes and draws are written to the shared folder (with the texts only if they are to be returned), and all else
+works on that table. It shuffles once, by (source, hash bucket), so a source with a third of all rows lies
+in ``BUCKETS`` groups; rows that share id and text share a bucket. Running sums go over buckets, then within a bucket. Per-source figures are
+computed on pre-aggregated rows, one a source, which one task sorts.
 
 Defined results: null text has size 0; the null source is a source of its own, last in order; an
 empty table gives an empty table; repeated rows count as so many documents; rows of size 0 are
-taken 0 times. Columns that clash with those added are replaced.
+taken 0 times. The order is that of a hash over id and text, so rows of one id (or of none) are ordered alike in every run; rows
+that have both in common are alike but for other columns. Columns that clash with those added are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import others
+from tidewater.llm.common import Scratch, others
 
 BUCKETS = 4096
 ADDED = ["size", "source_size", "target", "copies", "taken"]
@@ -42,20 +44,22 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    with_text: bool = True,
 ) -> DataFrame:
-    """docs with size, source_size, target, copies (repetitions of the row) and taken (words)."""
+    """docs (with_text: and its text) with size, source_size, target, copies (repetitions of the row) and taken (words)."""
     if share < 0 or max_epochs <= 0 or not weights or min(weights) <= 0:
         raise ValueError("share must be at least 0, max_epochs and every weight above 0")
+    text = docs[f"`{text_col}`"]
+    kept = others(docs, ADDED + _OWN) if with_text else others(docs, [*ADDED, *_OWN, text_col])
+    mark = F.concat_ws(":", F.lit(seed), F.coalesce(docs[id_col].cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
     base = docs.select(
-        *others(docs, ADDED + _OWN),
-        F.coalesce(F.regexp_count(docs[text_col], F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
+        *kept,
+        F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
         # one text key, so that null sources meet and come last: code-point order is kept
         F.when(docs[source_col].isNull(), "1").otherwise(F.concat(F.lit("0"), docs[source_col].cast("string"))).alias("__key"),
-        F.conv(
-            F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(docs[id_col].cast("string"), F.lit("")))), 1, 15), 16, 10
-        ).cast("long").alias("__draw"),
+        F.conv(F.substring(F.md5(mark), 1, 15), 16, 10).cast("long").alias("__draw"),
     ).withColumn("__bucket", F.shiftright("__draw", 48).cast("int"))
-    base = base.repartition("__key", "__bucket")
+    base = Scratch(docs.sparkSession, "mix").table(base, "sizes")
 
     buckets = base.groupBy("__key", "__bucket").agg(F.sum("size").alias("__b_size"))
     every = W.partitionBy(F.lit(0))
@@ -98,7 +102,7 @@ def mix_sources(
     middle = F.col("__ahead") + F.col("__upto") - F.col("size") / F.lit(2.0)
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(whole + F.when(middle <= rest, 1).otherwise(0)).cast("long")
     return (
-        base.withColumn("__upto", F.sum("size").over(within))
+        base.repartition("__key", "__bucket").withColumn("__upto", F.sum("size").over(within))
         .join(offsets, ["__key", "__bucket"])
         .withColumn("copies", copies)
         .withColumn("taken", F.col("copies") * F.col("size"))
@@ -113,7 +117,7 @@ def repeat_rows(mixed: DataFrame) -> DataFrame:
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    mixed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
@@ -121,7 +125,7 @@ ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5('tidewater-mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS draw
+    ('0x' || substr(md5('tidewater-mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS draw
   FROM documents),
 s0 AS (SELECT k, sum(size)::BIGINT AS source_size,
     list_extract([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE], ((row_number() OVER (ORDER BY encode(k)) - 1) % 3 + 1)::INT) AS w FROM d GROUP BY k),
