@@ -3,15 +3,16 @@
 Texts and benchmark items are normalised alike: UTF-8 bytes, A-Z lower-cased, every ASCII byte that is
 no letter or digit made a space. That keeps one byte for one, so an offset in the normalised text is
 one in the original. The automaton holds each window (``n`` consecutive words of an item; the whole item if
-it has fewer) with a space on either side, and reads each text once.
+it has fewer). Its letters are codes of words: each word of the benchmark has a code of two or three letters, of which the first shows where a
+code begins; all other words are one letter that no window has. Each text is read once.
 
-Scale: documents are never shuffled. The benchmark is what is broadcast: its size is checked, and
-one automaton holds ``WINDOWS`` windows; a larger benchmark is taken in blocks of so many, each
-reading the batch once more, so memory stays that of one automaton. A benchmark over
-``MAX_BYTES`` raises ValueError.
+Scale: documents are never shuffled. The benchmark is what is broadcast, and its size is checked: each worker builds one automaton and
+keeps it (about 1 KB a window). A benchmark of over ``MAX_WORDS`` words or ``MAX_BYTES`` is taken in slices below that, each with an automaton and a
+pass over the documents of its own, and the hits of all slices are put together by row.
 
 Defined results: null and empty texts have no words and no hits; null, empty or wordless items have no
-windows; repeated rows are rows of their own; with an empty benchmark nothing is hit.
+windows; items of one id are one item; repeated rows are rows of their own; with an empty benchmark nothing is hit. Columns of any name are kept
+with keep=True. In slices ids must be integers.
 """
 
 from __future__ import annotations
@@ -23,40 +24,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WORD_BYTES, Scratch, numbered, word_bytes
+from tidewater.llm.common import WORD_BYTES, Scratch, carried, numbered, slim, word_bytes
 
 N = 10
-WINDOWS = 50_000
+#: Bounds of one automaton: words (and so windows) and bytes of benchmark text.
+MAX_WORDS = 400_000
 MAX_BYTES = 64 << 20
 _RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
-_built: dict = {}
 
 
 def windows(words: list[bytes], n: int) -> set[bytes]:
     return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
-def _automata(key: str, items: list[tuple[str, str]], n: int):
-    """Automata of at most WINDOWS windows each; a single one is kept by the worker."""
-    import ahocorasick
-
-    if key in _built:
-        yield _built[key]
-        return
-    owners: dict[bytes, list[int]] = {}
-    for i, (_, text) in enumerate(items):
-        for w in windows(word_bytes(text), n):
-            owners.setdefault(w, []).append(i)
-    todo = list(owners.items())
-    for at in range(0, len(todo), WINDOWS):
-        made = ahocorasick.Automaton()
-        for w, who in todo[at : at + WINDOWS]:
-            made.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(who)))
-        made.make_automaton()
-        if len(todo) <= WINDOWS:
-            _built.clear()
-            _built[key] = made
-        yield made
+class Codes(dict):
+    """The code of each word that was asked for while open; others have the letter that no code has."""
+
+    def __missing__(self, word: bytes) -> str:
+        return "\0"
+
+
+class Windows:
+    """The automaton over the windows of items (id, text)."""
+
+    def __init__(self, items: list[tuple[str, str]], n: int):
+        import ahocorasick
+
+        bags = [word_bytes(text) for _, text in items]
+        vocabulary = sorted({w for words in bags for w in words})
+        # letters 1..127 begin a code, letters from 128 on go on with it
+        wide = len(vocabulary) > 127 * 128
+        code = lambda k: (chr(1 + k // 16384) if wide else "") + chr((128 if wide else 1) + k // 128 % 128) + chr(128 + k % 128)
+        if len(vocabulary) > 127 * 16384:
+            raise ValueError("more than two million words in one automaton")
+        self.codes = Codes((w, code(k)) for k, w in enumerate(vocabulary))
+        self.sizes: list[int] = []
+        self.owners: list[set[int]] = []
+        self.auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, words in enumerate(bags):
+            for at in range(max(1, len(words) - n + 1) if words else 0):
+                part = words[at : at + n]
+                key = "".join(map(self.codes.__getitem__, part))
+                k = self.auto.get(key, -1)
+                if k < 0:
+                    k = len(self.sizes)
+                    self.auto.add_word(key, k)
+                    self.sizes.append(len(part))
+                    self.owners.append(set())
+                self.owners[k].add(i)
+        if self.sizes:
+            self.auto.make_automaton()
+
+    def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[int]] | None:
+        """Which words are hit, and by which items; None if none is."""
+        if not self.sizes or not words:
+            return None
+        line = [self.codes[w] for w in words]
+        ends, found = [], []
+        for end, k in self.auto.iter("".join(line)):
+            ends.append(end)
+            found.append(k)
+        if not found:
+            return None
+        last = np.searchsorted(np.cumsum([len(c) for c in line]), np.array(ends), "right") + 1
+        steps = np.zeros(len(words) + 1, np.int64)
+        np.add.at(steps, last - np.array([self.sizes[k] for k in found]), 1)
+        np.add.at(steps, last, -1)
+        return np.cumsum(steps)[:-1] > 0, set().union(*(self.owners[k] for k in set(found)))
+
+
+_built: dict[str, Windows] = {}
+
+
+def automaton(key: str, items: list[tuple[str, str]], n: int) -> Windows:
+    """The worker's automaton, built at its first batch."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = Windows(items, n)
+    return _built[key]
 
 
 def _code_points(raw: bytes, at: np.ndarray) -> np.ndarray:
@@ -69,24 +114,6 @@ def normalised(texts: list[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES) for t in texts]
 
 
-def find_hits(words: list[list[bytes]], automata) -> dict[int, tuple[np.ndarray, set[int]]]:
-    """Of each text that something hits: which of its words are hit, and by which items."""
-    lines = [f" {b' '.join(w).decode('latin-1')} " if w else "" for w in words]
-    found: dict[int, tuple[np.ndarray, set[int]]] = {}
-    for auto in automata:
-        for row, line in enumerate(lines):
-            spaces = None
-            for end, (size, who) in auto.iter(line):
-                if spaces is None:
-                    spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-                    steps, owners = found.setdefault(row, (np.zeros(len(words[row]) + 1, np.int64), set()))
-                last = int(np.searchsorted(spaces, end))
-                steps[last - size] += 1
-                steps[last] -= 1
-                owners.update(who)
-    return {row: (np.cumsum(steps)[:-1] > 0, owners) for row, (steps, owners) in found.items()}
-
-
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -105,16 +132,14 @@ def report(text: str | None, norm: bytes, n_words: int, hit: np.ndarray | None,
     return n_words, int(hit.sum()), n_items, digest, True, ",".join(f"{a}:{z}" for a, z in zip(first, last, strict=True))
 
 
-def scan_texts(texts: list[str | None], automata, ids: list[str]) -> list[tuple]:
+def scan_texts(texts: list[str | None], auto: Windows, ids: list[str]) -> list[tuple]:
     """report() of each text; ids are those of the items, by number."""
-    norm = normalised(texts)
-    words = [b.split() for b in norm]
-    found = find_hits(words, automata)
     out = []
-    for row, w in enumerate(words):
-        hit, owners = found.get(row, (None, set()))
+    for text, norm in zip(texts, normalised(texts), strict=True):
+        words = norm.split()
+        hit, owners = auto.hits(words) or (None, set())
         names = {ids[i] for i in owners}
-        out.append(report(texts[row], norm[row], len(w), hit, names, len(names)))
+        out.append(report(text, norm, len(words), hit, names, len(names)))
     return out
 
 
@@ -133,9 +158,9 @@ def decontaminate(
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and spans (hit runs, start:end in
     code points of the original). keep: the rows of docs that nothing hits, as they are, instead."""
     items = benchmark.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).distinct()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).head()[0]
-    if size > MAX_BYTES:
-        return _in_slices(spark, docs, items, size // MAX_BYTES + 1, n, id_col, text_col, keep)
+    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.coalesce(F.sum(F.regexp_count("t", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))), F.lit(0))).head()
+    if size[0] > MAX_BYTES or size[1] > MAX_WORDS:
+        return _in_slices(spark, docs, items, max(size[0] // MAX_BYTES, size[1] // MAX_WORDS) + 1, n, id_col, text_col, keep)
     pairs = sorted((r.i, r.t) for r in items.collect())
     ids = [i for i, _ in pairs]
     key = hashlib.sha256(repr((n, pairs)).encode()).hexdigest()
@@ -143,31 +168,31 @@ def decontaminate(
 
     def run(batches):
         for batch in batches:
-            rows = scan_texts(batch.column(text_col).to_pylist(), _automata(key, held.value, n), ids)
+            rows = scan_texts(batch.column(text_col).to_pylist(), automaton(key, held.value, n), ids)
             yield batch.filter(pa.array([not r[4] for r in rows], pa.bool_())) if keep else _reported(batch.column(id_col), rows)
 
     if keep:
         return docs.mapInArrow(run, docs.schema)
-    slim = docs.select(docs[id_col], docs[text_col])
-    return slim.mapInArrow(run, f"doc_id {slim.schema[0].dataType.simpleString()}, {_RESULT}")
+    few = docs.select(docs[id_col], docs[text_col])
+    return few.mapInArrow(run, f"doc_id {few.schema[0].dataType.simpleString()}, {_RESULT}")
 
 
 def _in_slices(spark, docs: DataFrame, items: DataFrame, slices: int, n: int, id_col: str, text_col: str, keep: bool) -> DataFrame:
-    """decontaminate() for a benchmark too large for one broadcast. Ids must be integers here."""
+    """decontaminate() for a benchmark too large for one automaton. Ids must be integers here."""
     scratch = Scratch(spark, "bench")
-    plain = docs.drop("rid", "ord", "__hits", "__items")
-    rows, _ = numbered(scratch, plain, id_col)
+    rows, _ = numbered(scratch, slim(docs, id_col, text_col, carry=keep))
     found = None
     for k in range(slices):
         pairs = sorted((r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k).collect())
         key = hashlib.sha256(repr((n, pairs)).encode()).hexdigest()
-        part = rows.select("rid", F.col(text_col).alias("text")).mapInArrow(_hits_of(key, spark.sparkContext.broadcast(pairs), n), "rid long, hits binary, items array<string>")
+        part = rows.select("rid", "text").mapInArrow(_hits_of(key, spark.sparkContext.broadcast(pairs), n), "rid long, hits binary, items array<string>")
         part = scratch.table(part, f"slice{k}")
         found = part if found is None else found.unionByName(part)
-    by_row = found.groupBy("rid").agg(F.collect_list("hits").alias("__hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("__items"))
+    by_row = found.groupBy("rid").agg(F.collect_list("hits").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     joined = rows.join(by_row, "rid", "left")
     if keep:
-        return joined.where(F.col("__hits").isNull()).select(*[f"`{c}`" for c in docs.columns if c in plain.columns])
+        clean = joined.where(F.col("hits").isNull())
+        return clean.select(*carried(clean, docs))
 
     def run(batches):
         for batch in batches:
@@ -179,25 +204,21 @@ def _in_slices(spark, docs: DataFrame, items: DataFrame, slices: int, n: int, id
                 out.append(report(text, norm, n_words, hit, set(own or ()), len(own or ())))
             yield _reported(batch.column(0), out)
 
-    slim = joined.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "__hits", "__items")
-    return slim.mapInArrow(run, f"doc_id {slim.schema[0].dataType.simpleString()}, {_RESULT}")
+    few = joined.select("doc_id", "text", "hits", "items")
+    return few.mapInArrow(run, f"doc_id {few.schema[0].dataType.simpleString()}, {_RESULT}")
 
 
 def _hits_of(key: str, held, n: int):
     def run(batches):
         for batch in batches:
-            words = [b.split() for b in normalised(batch.column(1).to_pylist())]
-            found = find_hits(words, _automata(key, held.value, n))
-            rid = batch.column(0).to_pylist()
-            rows = sorted(found)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([rid[r] for r in rows], pa.int64()),
-                    pa.array([np.packbits(found[r][0]).tobytes() for r in rows], pa.binary()),
-                    pa.array([sorted({held.value[i][0] for i in found[r][1]}) for r in rows], pa.list_(pa.string())),
-                ],
-                ["rid", "hits", "items"],
-            )
+            auto = automaton(key, held.value, n)
+            rid, hits, items = [], [], []
+            for row, norm in zip(batch.column(0).to_pylist(), normalised(batch.column(1).to_pylist()), strict=True):
+                if got := auto.hits(norm.split()):
+                    rid.append(row)
+                    hits.append(np.packbits(got[0]).tobytes())
+                    items.append(sorted({held.value[i][0] for i in got[1]}))
+            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["rid", "hits", "items"])
 
     return run
 
