@@ -8,7 +8,7 @@ keeps the constants that a text binds, and carries them through later names and
 sensitive its parts are) and by its own form (length, classes of characters, entropy; words of prose,
 placeholders and references score nothing). Literals may be of any length, in brackets, over several lines (triple quotes, back ticks,
 YAML blocks, quotes around a PEM block or lines of one word, continued or concatenated lines) or on the line after the
-name. PEM private keys under any sensitive name and phrases of some words in quotes under a strong one count as secrets. Literals of ``LEAST`` or more that no base span
+name. A literal that is put together several times counts once, and one that was found already not again. PEM private keys under any sensitive name and phrases of some words in quotes under a strong one count as secrets. Literals of ``LEAST`` or more that no base span
 covers are added as spans of kind ``lex``.
 
 Every row is worked on by itself: nothing shuffles, and only lines that hold an assignment sign are
@@ -89,12 +89,37 @@ def literal_score(value: str, phrase: bool = False) -> float:
     return min(1.0, 0.35 + 0.1 * classes + 0.08 * max(0.0, entropy - 2))
 
 
+class Item:
+    """Literals that are put together: atoms (start, end, whether quoted), and items that a name bound before, which are shared and not copied."""
+
+    __slots__ = ("found", "parts")
+
+    def __init__(self, parts: list):
+        self.parts = parts
+        self.found = False
+
+    def atoms(self) -> tuple[list[tuple[int, int, bool]], list[Item]]:
+        """(the atoms in order, each once; the items they come from), but for items found already."""
+        out: dict[tuple[int, int, bool], None] = {}
+        seen: dict[int, Item] = {}
+        todo: list = [self]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, Item):
+                if not x.found and id(x) not in seen:
+                    seen[id(x)] = x
+                    todo += reversed(x.parts)
+            else:
+                out[x] = None
+        return list(out), list(seen.values())
+
+
 class Lexer:
-    """Values of pairs: lists of items, each the atoms (start, end, whether quoted) that are put together."""
+    """Values of pairs: lists of items."""
 
     def __init__(self, text: str):
         self.text = text
-        self.bound: dict[str, list[list[tuple[int, int, bool]]]] = {}
+        self.bound: dict[str, list[Item]] = {}
         self.unclosed: set[str] = set()
         self.word = (0, 0)
 
@@ -139,14 +164,14 @@ class Lexer:
             pos = end + 1
         return (first, last) if first >= 0 else None
 
-    def value(self, m: re.Match, stop: int) -> list[list[tuple[int, int, bool]]]:
+    def value(self, m: re.Match, stop: int) -> list[Item]:
         text, pos, depth = self.text, m.end(), 0
-        items: list[list[tuple[int, int, bool]]] = [[]]
+        items: list[list] = [[]]
         line = text.rfind("\n", 0, m.start()) + 1
         head = text[line : m.start()]
         indent = len(head) - len(head.lstrip())
         if m["op"] == ":" and (y := YAML.match(text, pos, stop)):
-            return [[(*b, True)]] if (b := self.block(y.end(), stop, indent)) else []
+            return [Item([(*b, True)])] if (b := self.block(y.end(), stop, indent)) else []
         start = pos
         pos = SPACE.match(text, pos, stop).end()
         next_line = "\n" in text[start:pos]
@@ -175,8 +200,7 @@ class Lexer:
                 j = JOINT.match(text, w[1], stop)
                 name = text[pos : w[1]] if w[1] - pos < 100 else ""
                 if IDENT.match(name) and (name in self.bound or j):
-                    for more in self.bound.get(name, []):
-                        items[-1] += more
+                    items[-1] += self.bound.get(name, [])
                 elif depth or next_line and (pos - text.rfind("\n", 0, pos) - 1 <= indent or text[w[1] : w[1] + 2].strip() or ":" in text[w[0] : w[1]] or "=" in text[w[0] : w[1]]):
                     break
                 else:
@@ -191,7 +215,7 @@ class Lexer:
                 break
             if depth:
                 pos = SPACE.match(text, pos, stop).end()
-        return [x for x in items if x]
+        return [Item(x) for x in items if x]
 
 
 def lexed_spans(text: str) -> list[tuple[int, int]]:
@@ -215,13 +239,17 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
                 items = lexer.value(m, stop)
                 if not items:
                     continue
-                within += sorted(((s, e, stop) for x in items for s, e, quoted in x if quoted and m.end() <= s), reverse=True)
+                own = (a for x in items for a in x.parts if not isinstance(a, Item))
+                within += sorted(((s, e, stop) for s, e, quoted in own if quoted and m.end() <= s), reverse=True)
                 lexer.bound[name.rpartition(".")[2]] = items
                 sensitive = name_score(name)
-                for atoms in items if sensitive else ():
+                for item in items if sensitive else ():
+                    atoms, held = item.atoms()
                     score = literal_score("".join(text[s:e] for s, e, _ in atoms), sensitive == 1.0 and all(q for *_, q in atoms))
                     if 0.5 * sensitive + 0.5 * score >= LEAST and score > 0.4:
                         found.update((s, e) for s, e, _ in atoms if e > s)
+                        for x in held:
+                            x.found = True
         at += len(line)
     return sorted(found)
 
