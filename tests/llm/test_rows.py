@@ -209,6 +209,50 @@ def test_line_dedup_of_other_lengths(spark, n):
         assert got[i] == "\n".join(x for k, x in enumerate(lines) if k not in gone)
 
 
+@pytest.mark.parametrize("n", [1, 3, 4])
+def test_suffix_ranks_intervals_and_runs(spark, n):
+    """At each length: the places of repeated runs, which runs are equal, their order by line IDs, first places; and the maximal runs."""
+    from tidewater.llm.common import Scratch, numbered, slim
+
+    rnd = random.Random(n)
+    block = [rnd.choice("abcd") for _ in range(23)]
+    rows = [(i, "\n".join(block[rnd.randint(0, 6) :] * rnd.randint(0, 2) + [rnd.choice("abcde") for _ in range(rnd.randint(1, 9))])) for i in range(12)]
+    scratch = Scratch(spark, "t")
+    docs, _ = numbered(scratch, slim(frame(spark, rows), "doc_id", "text"))
+    ids = {r.t: (r.h1, r.h2, 1) for r in spark.createDataFrame([(c,) for c in "abcde"], "t string").selectExpr("t", "xxhash64(t) AS h1", "hash(t) AS h2").collect()}
+    text = {i: [ids[x] for x in t.split("\n")] for i, t in rows}
+    found = list(line_dedup.intervals(scratch, docs, n))
+    places = [(i, q) for i in text for q in range(len(text[i]))]
+    longest = {}
+    for size, got in found:
+        runs = defaultdict(list)
+        for i, q in places:
+            if q + size <= len(text[i]):
+                runs[tuple(text[i][q : q + size])].append((i, q))
+        want = {p: (key, members[0]) for key, members in runs.items() if len(members) > 1 for p in members}
+        rank = {(r.rid, r.q): r.r for r in got.collect()}
+        assert rank.keys() == want.keys()
+        assert [rank[p] for p in sorted(want, key=lambda p: want[p][0])] == sorted(rank.values())
+        assert len({(rank[p], want[p][0]) for p in want}) == len(set(rank.values()))
+        assert {(r.rid, r.q): ((r.fa, r.fb), r.later) for r in got.collect()} == {p: (first, p != first) for p, (_, first) in want.items()}
+        longest |= {p: (size, first) for p, (_, first) in want.items() if p != first and size >= n}
+    assert max(size for size, _ in found) >= 12
+    made = line_dedup.maximal_runs([(s, r) for s, r in found if s >= n]).collect()
+    cover = lambda spans: {(i, k) for i, q, m in spans for k in range(q, q + m)}
+    assert cover((r.rid, r.q, r.n) for r in made) == cover((i, q, size) for (i, q), (size, _) in longest.items())
+    for r in made:  # each is a copy of what came before, and none goes on as the copy of the same place
+        assert text[r.rid][r.q : r.q + r.n] == text[r.fa][r.fb : r.fb + r.n] and (r.fa, r.fb) < (r.rid, r.q)
+        assert (longest.get((r.rid, r.q - 1)) or (0, None))[1] != (r.fa, r.fb - 1)
+
+
+def test_line_dedup_with_clashing_columns(spark):
+    line = "a line that is long enough to be deleted when it comes again, by itself"
+    docs = spark.createDataFrame([(1, line, 5, 6, 7, 8, 9, 10), (2, line, 5, 6, 7, 8, 9, 10)], "doc_id long, text string, rid int, ord int, gone int, n_lines int, row int, q int")
+    got = line_dedup.line_dedup(spark, docs)
+    assert got.columns == ["doc_id", "text", "rid", "ord", "gone", "row", "q", "n_lines", "n_removed"]
+    assert tuples(got) == [(1, line, 5, 6, 7, 9, 10, 1, 0), (2, "", 5, 6, 7, 9, 10, 1, 1)]
+
+
 def test_line_dedup_of_repeated_and_null_ids(spark):
     line = "a line that is long enough to be deleted when it comes again, by itself"
     got = line_dedup.line_dedup(spark, frame(spark, [(None, line), (1, line), (1, line)])).collect()
@@ -262,20 +306,29 @@ def test_decontaminate_in_slices(spark, monkeypatch):
     texts = ["x one two three four five six seven eight nine ten eleven y only three words", None, "", "zzz", "two three four five six seven eight nine ten"]
     rows = [*enumerate(texts), (0, texts[0]), (None, texts[3])]
     bench = spark.createDataFrame(BENCH, "item_id string, text string")
-    docs = frame(spark, rows).drop("rid")
+    docs = frame(spark, rows)
     whole = tuples(decontaminate.decontaminate(spark, docs, bench))
     kept = sorted(r.doc_id for r in decontaminate.decontaminate(spark, docs, bench, keep=True).collect())
-    monkeypatch.setattr(decontaminate, "MAX_BYTES", 60)
+    monkeypatch.setattr(decontaminate, "MAX_WORDS", 9)
     assert tuples(decontaminate.decontaminate(spark, docs, bench)) == whole
     parts = decontaminate.decontaminate(spark, docs, bench, keep=True)
     assert sorted(r.doc_id for r in parts.collect()) == kept and parts.columns == docs.columns
 
 
-def test_decontaminate_in_blocks(spark, monkeypatch):
-    whole = decontaminate.scan_texts([t for _, t in BENCH] * 2, decontaminate._automata("a", [(i or "", t) for i, t in BENCH if t], 10), [i or "" for i, t in BENCH if t])
-    monkeypatch.setattr(decontaminate, "WINDOWS", 1)
-    parts = decontaminate.scan_texts([t for _, t in BENCH] * 2, decontaminate._automata("b", [(i or "", t) for i, t in BENCH if t], 10), [i or "" for i, t in BENCH if t])
-    assert whole == parts
+def test_one_automaton_and_one_scan(monkeypatch):
+    """200,000 windows over 25,000 words: built once, whatever the batches, and each text is read once."""
+    rnd = random.Random(3)
+    items = [(str(i), " ".join(f"w{rnd.randrange(25_000)}" for _ in range(2009))) for i in range(100)]
+    builds, reads = [], []
+    init, hits = decontaminate.Windows.__init__, decontaminate.Windows.hits
+    monkeypatch.setattr(decontaminate.Windows, "__init__", lambda self, *a: (builds.append(1), init(self, *a))[1])
+    monkeypatch.setattr(decontaminate.Windows, "hits", lambda self, w: (reads.append(1), hits(self, w))[1])
+    words = items[7][1].split()
+    texts = [" ".join(["x", *words[500:512], "y", "w1"]), "w1 w2 w3", " ".join(words[3:12])]
+    for _ in range(3):
+        rows = decontaminate.scan_texts(texts, decontaminate.automaton("k", items, 10), [i for i, _ in items])
+        assert [r[:3] for r in rows] == [(15, 12, 1), (3, 0, 0), (9, 0, 0)] and rows[0][5] == f"2:{2 + len(' '.join(words[500:512]))}"
+    assert len(builds) == 1 and len(reads) == 9 and len(decontaminate._built["k"].sizes) > 199_000
 
 
 def brute_secrets(text):
@@ -349,6 +402,18 @@ def test_whole_literals_are_linear(text):
     assert time.time() - t < 10
 
 
+def test_constants_that_double_are_scanned():
+    """40 lines that double a constant, and 3,000 that add to one."""
+    import time
+
+    t = time.time()
+    key = "qT7rX2mLp9Zs4kWd"
+    text = f'x = "{key}"\n' + "x = x + x\n" * 40 + "client_credential = x\n"
+    assert secrets.scan(text)[4] == f"lex:5:{5 + len(key)}"
+    secrets.scan('x = "a"\n' + 'x = x + "b"\nprivateKey = x\n' * 3000)
+    assert time.time() - t < 20
+
+
 @pytest.mark.parametrize("text", ['title = "a quite ordinary heading"', "pwd = None", 'privateKey: "<your key here>"', "see https://x.org/a=b: c", "credential: example", ""])
 def test_secrets_not_lexed(text):
     assert "lex" not in secrets.scan(text)[4]
