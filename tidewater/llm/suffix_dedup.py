@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch, mix64, numbered
+from tidewater.llm.common import Scratch, mix64, numbered, tidy
 
 LENGTH = 100
 GRAM = 32
@@ -442,7 +442,7 @@ def _sampled(batches):
 def _sampled_keys(rows: DataFrame, n_rows: int):
     """(keys of the sampled texts in order, buckets of about BUCKET_BYTES of text for all of them)."""
     share = min(1.0, min(max(n_rows / SAMPLE_ONE_IN, SAMPLE_ROWS[0]), SAMPLE_ROWS[1]) / max(n_rows, 1))
-    got = rows.sample(share, seed=11).mapInArrow(_sampled, "size long, n long, data binary").collect()
+    got = rows.sample(share, seed=11).mapInArrow(tidy(_sampled), "size long, n long, data binary").collect()
     n = sum(r.n for r in got)
     size = sum(r.size for r in got) / max(n, 1) * n_rows
     c, _ = _unpack([r.data for r in got], _RECORD[4:])
@@ -466,20 +466,20 @@ def remove_repeats(spark, docs: DataFrame, id_col: str = "doc_id", text_col: str
     splitters, buckets = _cut(keys, buckets)
     parts = max(2, min(buckets, 20_000))
 
-    sent = rows.mapInArrow(_send_runs(splitters), _SENT_DDL)
+    sent = rows.mapInArrow(tidy(_send_runs(splitters)), _SENT_DDL)
     found = scratch.table(sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_sort_runs(buckets), _FOUND_DDL), "found")
     # buckets for the runs that ask, by the windows they have
     windows = found.where("asks").agg(F.coalesce(F.sum("windows"), F.lit(0))).head()[0]
     splitters, buckets = _cut(keys, windows // BUCKET_WINDOWS + 1)
     parts = max(2, min(buckets, 20_000))
     asks = found.where("asks").groupBy("rid").agg(F.collect_list("data").alias("asks"))
-    bodies = rows.join(asks, "rid").select("ord", "rid", "text", "asks").mapInArrow(_send_bytes(splitters), _SENT_DDL)
+    bodies = rows.join(asks, "rid").select("ord", "rid", "text", "asks").mapInArrow(tidy(_send_bytes(splitters)), _SENT_DDL)
     shared = bodies.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_sort_windows(buckets), _FOUND_DDL)
     repeats = found.where("NOT asks").unionByName(shared).groupBy("rid").agg(F.collect_list("data").alias("runs"))
     return (
         slim.join(repeats, "rid", "left")
         .select("doc_id", "text", "runs")
-        .mapInArrow(_finish(texts), "doc_id long, " + _RESULT + (", kept string" if texts else ""))
+        .mapInArrow(tidy(_finish(texts)), "doc_id long, " + _RESULT + (", kept string" if texts else ""))
     )
 
 
