@@ -82,3 +82,7 @@ def sql_show_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["sql_show_mappings"] = sql_show_mappings
 ORACLES["sql_show_mappings"] = "SELECT unnest(['customer', 'nation', 'region']) AS name"
+
+query("sql_truncate_exact", "SELECT TRUNCATE(CAST(1.15 AS DOUBLE), 2) AS a, TRUNCATE(CAST(-4.35 AS DOUBLE), 2) AS b, TRUNCATE(9007199254740993) AS c, TRUNCATE(-1250, -2) AS d", "SELECT 1.15::DOUBLE AS a, -4.35::DOUBLE AS b, 9007199254740993::BIGINT AS c, -1200::INT AS d")
+query("sql_truncate_digits", "SELECT l_orderkey, l_linenumber, TRUNCATE(CAST(l_extendedprice AS DECIMAL), 1) = TRUNCATE(l_extendedprice, 1) AS same, CAST(TRUNCATE(l_orderkey, -2) AS BIGINT) AS hundreds FROM lineitem", "SELECT l_orderkey, l_linenumber, true AS same, (l_orderkey - l_orderkey % 100)::BIGINT AS hundreds FROM lineitem")
+query("sql_decimal_digits", "SELECT CAST(CAST('0.12345678' AS DECIMAL) AS DOUBLE) AS c, CAST(AVG(CAST(CAST(l_linenumber AS DECIMAL(20, 9)) / 1000000 AS DECIMAL(20, 9))) AS DOUBLE) > 0 AS small FROM lineitem", "SELECT 0.12345678::DOUBLE AS c, true AS small")
