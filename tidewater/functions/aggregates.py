@@ -31,6 +31,8 @@ class Aggregate:
     null_is_none: bool = False
     #: Applied to the rows before, for operations that change their number.
     prepare: Callable[[DataFrame], DataFrame] | None = None
+    #: The n and the order, under a guard, of which only the first n rows of a group count: they are cut before they are gathered.
+    first: tuple[int, Callable[[Column | None], list[Column]]] | None = None
 
     def column(self, guard: Column | None = None) -> Column:
         made = self.build(guard)
@@ -59,8 +61,13 @@ def summing_double(x: ColumnLike) -> Aggregate:
 
 
 def averaging_long(x: ColumnLike) -> Aggregate:
-    """NaN for no rows."""
-    return Aggregate(lambda g: F.avg(_when(g, col(x).cast("long"))), float("nan"))
+    """NaN for no rows. The sum is a long: overflow raises, as the session is in ANSI mode."""
+
+    def build(g: Column | None) -> Column:
+        value = _when(g, col(x).cast("long"))
+        return F.when(F.count(value) > 0, F.sum(value).cast("double") / F.count(value))
+
+    return Aggregate(build, float("nan"))
 
 
 def averaging_double(x: ColumnLike) -> Aggregate:
@@ -77,8 +84,15 @@ def min_by(item: ColumnLike | list, *by: ColumnLike) -> Aggregate:
 
 
 def max_by(item: ColumnLike | list, by: ColumnLike, *first: ColumnLike) -> Aggregate:
-    """The item with the greatest key; of equals the one that comes first by ``first`` (numbers)."""
-    return Aggregate(lambda g: F.max_by(_item(item), _when(g, F.struct(col(by), *[-col(f) for f in first]))), None, True)
+    """The item with the greatest key; of equals the one that comes first by ``first`` (numbers or texts)."""
+    return Aggregate(lambda g: F.max_by(_item(item), _when(g, F.struct(col(by), *[c for f in first for c in _reversed(col(f))]))), None, True)
+
+
+def _reversed(c: Column) -> tuple[Column, Column]:
+    """Two columns that sort the other way: numbers negated, texts by the complement of their bytes, with an end above all digits."""
+    text = F.typeof(c) == "string"
+    digits = F.translate(F.hex(F.encode(c.cast("string"), "utf-8")), "0123456789ABCDEF", "FEDCBA9876543210")
+    return F.when(text, F.lit(None)).otherwise(-c), F.when(text, F.concat(digits, F.lit("G")))
 
 
 def _sorted(g: Column | None, key: Column, item: Column, descending: bool) -> Column:
@@ -86,13 +100,24 @@ def _sorted(g: Column | None, key: Column, item: Column, descending: bool) -> Co
     return F.transform(F.sort_array(pairs, not descending), lambda p: p["v"])
 
 
+def _n(n: int, item: ColumnLike | list, by: tuple[ColumnLike, ...], descending: bool) -> Aggregate:
+    key, own = F.struct(*map(col, by)), _item(item)
+
+    def order(g: Column | None) -> list[Column]:
+        guard = [] if g is None else [F.coalesce(g, F.lit(False)).desc()]
+        return [*guard, key.desc() if descending else key.asc(), own.desc() if descending else own.asc()]
+
+    return Aggregate(lambda g: F.slice(_sorted(g, key, own, descending), 1, n), None, first=(n, order))
+
+
 def top_n(n: int, item: ColumnLike | list, *by: ColumnLike) -> Aggregate:
-    """The n items with the greatest keys, in descending order. Bounded per group: max n values are kept once sorted."""
-    return Aggregate(lambda g: F.slice(_sorted(g, F.struct(*map(col, by)), _item(item), True), 1, n), None)
+    """The n items with the greatest keys, in descending order. As an operation of its own it ranks rows and gathers n of a group; inside of
+    all_of and on streams it gathers the group."""
+    return _n(n, item, by, True)
 
 
 def bottom_n(n: int, item: ColumnLike | list, *by: ColumnLike) -> Aggregate:
-    return Aggregate(lambda g: F.slice(_sorted(g, F.struct(*map(col, by)), _item(item), False), 1, n), None)
+    return _n(n, item, by, False)
 
 
 def linear_trend(x: ColumnLike, y: ColumnLike) -> Aggregate:
@@ -151,18 +176,29 @@ def mapping(fn: Callable[[ColumnLike], Column], op: Callable[[Column], Aggregate
     """op over fn(x); rows where fn gives null are left out."""
     value = fn(col(x))
     made = op(value)
-    return replace(made, build=lambda g: made.build(value.isNotNull() if g is None else g & value.isNotNull()))
+    return _guarded(made, value.isNotNull())
+
+
+def _guarded(op: Aggregate, own: Column) -> Aggregate:
+    """op over the rows where own holds."""
+    under = lambda g: own if g is None else g & own
+    first = op.first and (op.first[0], lambda g: op.first[1](under(g)))
+    return replace(op, build=lambda g: op.build(under(g)), first=first)
 
 
 def filtering(condition: ColumnLike, op: Aggregate) -> Aggregate:
-    own = F.coalesce(col(condition), F.lit(False))
-    return replace(op, build=lambda g: op.build(own if g is None else g & own))
+    return _guarded(op, F.coalesce(col(condition), F.lit(False)))
 
 
 def flat_mapping(array: ColumnLike, op: Callable[[Column], Aggregate], name: str = "item") -> Aggregate:
-    """op over the elements of an array; the rows are exploded first."""
-    made = op(F.col(name))
-    return replace(made, prepare=lambda df: df.withColumn(name, F.explode(col(array))))
+    """op over the elements of an array; the rows are exploded first. A group whose arrays are all empty or null has op's result for no rows."""
+    made = _guarded(op(F.col(name)), F.col(f"__has_{name}"))
+
+    def prepare(df: DataFrame) -> DataFrame:
+        boxed = df.withColumn(f"__box_{name}", F.explode_outer(F.transform(col(array), lambda x: F.struct(x.alias("x")))))
+        return boxed.withColumns({f"__has_{name}": F.col(f"__box_{name}").isNotNull(), name: F.col(f"__box_{name}.x")}).drop(f"__box_{name}")
+
+    return replace(made, prepare=prepare)
 
 
 def reducing(zero: Any, x: ColumnLike, combine: Callable[[Column, Column], Column], order: ColumnLike | None = None) -> Aggregate:
@@ -185,7 +221,7 @@ def sorting(x: ColumnLike, descending: bool = False) -> Aggregate:
 
 def all_of(**ops: Aggregate) -> Aggregate:
     """Several operations in one pass: a struct with a field for each."""
-    if any(isinstance(op, Nested) or op.prepare for op in ops.values()):
+    if any(isinstance(op, Nested | Custom) or op.prepare for op in ops.values()):
         raise ValueError("nested and flat-mapping operations go into aggregate(name=op) directly")
     return Aggregate(lambda g: F.struct(*[op.column(g).alias(name) for name, op in ops.items()]))
 

@@ -8,6 +8,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.functions.aggregates import Aggregate, CoAggregate, Custom, Nested, col, literal
@@ -19,7 +20,36 @@ HELD_KEYS = 100_000
 def aggregate(df: DataFrame, keys: Sequence[Column], ops: dict[str, Aggregate | Nested | Custom]) -> DataFrame:
     """keys and one column for each operation. Without keys exactly one row, or none if a result that needs rows is null."""
     names = _names(df, keys)
-    plain = {n: op for n, op in ops.items() if isinstance(op, Aggregate) and not op.prepare}
+    if names and not _windowed(names) and len(_plain(df, names, ops)) < len(ops) > 1:
+        return _unboxed(_aggregate(_boxed(df, keys, names), [F.col("__key")], ["__key"], ops), names, ops)
+    return _aggregate(df, keys, names, ops)
+
+
+def _windowed(names: Sequence[str]) -> bool:
+    """Whether a window is among the keys: it must be a key itself, as Spark merges sessions and repeats rows there."""
+    return "__window" in names
+
+
+def _ranked(df: DataFrame, names: Sequence[str], op) -> bool:
+    return bool(op.first) and not df.isStreaming and not _windowed(names)
+
+
+def _plain(df: DataFrame, names: Sequence[str], ops: dict) -> dict:
+    """The operations that one group-by of the rows as they are can do together."""
+    return {n: op for n, op in ops.items() if isinstance(op, Aggregate) and not op.prepare and not _ranked(df, names, op)}
+
+
+def _boxed(df: DataFrame, keys: Sequence[Column], names: Sequence[str]) -> DataFrame:
+    """df with its keys as one struct: structs with equal nulls are equal, so that plain equality joins null keys too, without another shuffle."""
+    return df.withColumn("__key", F.struct(*[k.alias(n) for k, n in zip(keys, names, strict=True)]))
+
+
+def _unboxed(out: DataFrame, names: Sequence[str], ops) -> DataFrame:
+    return out.select(*[F.col("__key").getField(n).alias(n) for n in names], *ops)
+
+
+def _aggregate(df: DataFrame, keys: Sequence[Column], names: Sequence[str], ops: dict) -> DataFrame:
+    plain = _plain(df, names, ops)
     parts = []
     if plain:
         parts.append(df.groupBy(*keys).agg(*[op.column().alias(n) for n, op in plain.items()]))
@@ -37,8 +67,10 @@ def _names(df: DataFrame, keys: Sequence[Column]) -> list[str]:
     return df.select(*keys).columns if keys else []
 
 
-def _join_keys(a: DataFrame, b: DataFrame, names: list[str], how: str) -> DataFrame:
-    """Joins on equal keys, null being a key; both sides are aggregated by them, so neither shuffles again."""
+def _join_keys(a: DataFrame, b: DataFrame, names: Sequence[str], how: str) -> DataFrame:
+    """Joins on equal keys, null being a key. Boxed keys join as they are; others (of windows) null-safely, which shuffles what is aggregated again."""
+    if list(names) == ["__key"]:
+        return a.join(b, "__key", how)
     right = b.select(*[F.col(f"`{n}`").alias(f"__r_{n}") for n in names], *[c for c in b.columns if c not in names])
     same = reduce(Column.__and__, [F.col(f"`{n}`").eqNullSafe(F.col(f"`__r_{n}`")) for n in names])
     joined = a.join(right, same, how)
@@ -46,8 +78,12 @@ def _join_keys(a: DataFrame, b: DataFrame, names: list[str], how: str) -> DataFr
     return joined.select(*keys, *[c for c in a.columns if c not in names], *[c for c in b.columns if c not in names])
 
 
-def _special(df: DataFrame, keys: Sequence[Column], names: list[str], n: str, op) -> DataFrame:
+def _special(df: DataFrame, keys: Sequence[Column], names: Sequence[str], n: str, op) -> DataFrame:
     if isinstance(op, Custom):
+        if list(names) == ["__key"]:  # accumulators are held by plain keys
+            fields = df.schema["__key"].dataType.fieldNames()
+            done = custom(df, [F.col("__key").getField(f).alias(f) for f in fields], op, n)
+            return done.select(F.struct(*[f"`{f}`" for f in fields]).alias("__key"), n)
         return custom(df, keys, op, n)
     if op.prepare:
         df = op.prepare(df)
@@ -56,23 +92,35 @@ def _special(df: DataFrame, keys: Sequence[Column], names: list[str], n: str, op
         first = aggregate(df, [*keys, *inner], {"__v": op.inner})
         entry = F.struct(*[F.col(f"__{k}") for k, _ in op.inner_keys][:1], F.col("__v"))
         return first.groupBy(*names).agg(F.map_from_entries(F.collect_list(entry)).alias(n))
+    if _ranked(df, names, op):
+        most, order = op.first
+        if names:
+            rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order(None)))
+            df = df.withColumn("__rank", rank).where(F.col("__rank") <= max(most, 1))
+        else:
+            df = df.orderBy(*order(None)).limit(max(most, 1))
     return df.groupBy(*keys).agg(op.column().alias(n))
 
 
 def co_aggregate(inputs: Sequence[tuple[DataFrame, Sequence[Column]]], ops: Sequence[tuple[str, Aggregate]]) -> DataFrame:
     """Each input aggregated by its keys, then joined on them; an absent input gives its operation's empty result.
 
-    Key columns take the first input's names.
+    Key columns take the first input's names. Inputs shuffle once each: they are aggregated and joined by the same struct of keys. From the third
+    input on, what was joined so far (a row a key) shuffles again, as a full join's result has no known partitioning.
     """
     names = _names(*inputs[0])
     parts = []
     for (df, keys), (n, op) in zip(inputs, ops, strict=True):
-        own = [k.alias(name) for k, name in zip(keys, names, strict=True)]
-        parts.append(aggregate(df, own, {n: op}))
+        if names and not _windowed(names):
+            parts.append(_aggregate(_boxed(df, keys, names), [F.col("__key")], ["__key"], {n: op}))
+        else:
+            parts.append(_aggregate(df, [k.alias(name) for k, name in zip(keys, names, strict=True)], names, {n: op}))
     if not names:
         return reduce(DataFrame.crossJoin, parts)
-    out = reduce(lambda a, b: _join_keys(a, b, names, "full"), parts)
-    return out.select(*names, *[_filled(n, op) for n, op in ops])
+    joined = names if _windowed(names) else ["__key"]
+    out = reduce(lambda a, b: _join_keys(a, b, joined, "full"), parts)
+    back = [F.col(n) if _windowed(names) else F.col("__key").getField(n).alias(n) for n in names]
+    return out.select(*back, *[_filled(n, op) for n, op in ops])
 
 
 def _filled(n: str, op: Aggregate) -> Column:

@@ -1,7 +1,7 @@
 """Enrichment joins: a stage against others by key.
 
-An enriching side is broadcast only if Spark knows it to be small: the size in its plan's statistics is checked against
-``BROADCAST_BYTES``. Beyond it the join shuffles, and adaptive execution splits skewed keys.
+An enriching side is broadcast only if Spark knows it to be small: the size in its plan's statistics, times ``UNPACKED`` as files are
+compressed, is checked against ``BROADCAST_BYTES``. Beyond it the join shuffles, and adaptive execution splits skewed keys.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tidewater.functions.aggregates import ColumnLike, col
 
 BROADCAST_BYTES = 64 << 20
+#: How many times as large as in a compressed file a table may be in memory: statistics of a scan are file sizes.
+UNPACKED = 4
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -24,7 +26,7 @@ def plan_bytes(df: DataFrame) -> int:
 
 def small(df: DataFrame) -> DataFrame:
     """df, marked for broadcast if its size allows."""
-    return F.broadcast(df) if not df.isStreaming and plan_bytes(df) <= BROADCAST_BYTES else df
+    return F.broadcast(df) if not df.isStreaming and plan_bytes(df) * UNPACKED <= BROADCAST_BYTES else df
 
 
 @dataclass(frozen=True)

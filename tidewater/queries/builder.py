@@ -125,6 +125,34 @@ def flat_mapping(t):
     return t("documents").grouping_key("lang").aggregate(words=op, longest=longest)
 
 
+@query("""SELECT n_regionkey, count(i) AS items, count(*) FILTER (g) AS nations FROM (SELECT n_regionkey, unnest(CASE WHEN n_regionkey = 1 OR n_nationkey % 2 = 0 THEN [NULL] ELSE [1, 2] END) AS i,
+generate_subscripts(CASE WHEN n_regionkey = 1 OR n_nationkey % 2 = 0 THEN [NULL] ELSE [1, 2] END, 1) = 1 AS g FROM nation) GROUP BY n_regionkey""")
+def flat_mapping_empty(t):
+    """A group whose arrays are all empty stays, with the operations beside it."""
+    odd = F.expr("CASE WHEN n_regionkey = 1 OR n_nationkey % 2 = 0 THEN array() ELSE array(1, 2) END")
+    return t("nation").grouping_key("n_regionkey").aggregate(items=A.flat_mapping(odd, lambda i: A.counting(), "i"), nations=A.counting())
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, (o_orderstatus, -o_orderkey)) AS item FROM orders GROUP BY o_custkey")
+def max_by_status(t):
+    """Equal keys, of which the first by number counts."""
+    return t("orders").grouping_key("o_custkey").aggregate(item=A.max_by("o_orderkey", "o_orderstatus", "o_orderkey"))
+
+
+@query("SELECT c_mktsegment, arg_min(c_custkey, c_name) AS item FROM customer GROUP BY c_mktsegment")
+def max_by_text_ties(t):
+    """All keys are equal: the first by text counts."""
+    return t("customer").grouping_key("c_mktsegment").aggregate(item=A.max_by("c_custkey", F.lit(1), "c_name"))
+
+
+@query("SELECT n_nationkey, coalesce(c, 0) AS customers, coalesce(s, 0) AS suppliers FROM nation LEFT JOIN (SELECT c_nationkey, count(*) c FROM customer GROUP BY 1) ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, sum(s_suppkey)::BIGINT s FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey WHERE c IS NOT NULL OR s IS NOT NULL")
+def co_aggregate_operation(t):
+    """Two operations put together as one that takes both inputs."""
+    op = A.aggregate_operation2(A.counting(), A.summing_long("s_suppkey"))
+    got = t("customer").grouping_key(n_nationkey="c_nationkey").co_aggregate(op, t("supplier").grouping_key("s_nationkey"))
+    return got.map("n_nationkey", customers="result.f0", suppliers="result.f1")
+
+
 @query("SELECT p_brand, sum(p_size)::BIGINT AS total, max(p_size)::BIGINT AS most FROM part GROUP BY p_brand")
 def reducing(t):
     return t("part").grouping_key("p_brand").aggregate(
@@ -224,6 +252,17 @@ def traverser(t):
     return t("part").map("p_partkey", head=F.array_join(items, ","))
 
 
+@query("""SELECT p_partkey, array_to_string(list_filter(range(1, p_size + 1), lambda x: x >= 4), ',') AS rest, array_to_string(list_concat([0], list_transform(list_filter(range(1, p_size + 1), lambda x: x % 2 = 0), lambda x: x * 10), [-1]), ',') AS tens,
+array_to_string(flatten(list_transform(range(1, p_size + 1), lambda x: [x, -x])), ',') AS pairs FROM part""")
+def traverser_combinators(t):
+    items = F.sequence(F.lit(1), F.col("p_size"))
+    rest = traverse.drop_while(items, lambda x: x < 4)
+    even = traverse.map_items(traverse.filter_items(items, lambda x: x % 2 == 0), lambda x: x * 10)
+    tens = traverse.append(traverse.prepend(even, F.lit(0)), F.lit(-1))
+    pairs = traverse.flat_map_items(items, lambda x: F.array(x, -x))
+    return t("part").map("p_partkey", rest=F.array_join(rest, ","), tens=F.array_join(tens, ","), pairs=F.array_join(pairs, ","))
+
+
 @query("SELECT c_nationkey AS nation FROM customer UNION ALL SELECT s_nationkey FROM supplier")
 def merge(t):
     return t("customer").map(nation="c_nationkey").merge(t("supplier").map(nation="s_nationkey"))
@@ -257,7 +296,8 @@ def tf_idf(t):
     docs = t("documents")
     words = docs.flat_map("split(text, '[^a-zA-Z]+')", "w", "doc_id").filter("w <> ''")
     tf = words.grouping_key("doc_id", word="lower(w)").aggregate(tf=A.counting())
-    df = tf.grouping_key("word").aggregate(df=A.counting())
+    # the count looks at tf, so that both branches ask for the same columns and share one shuffle of the words
+    df = tf.grouping_key("word").aggregate(df=A.filtering("tf > 0", A.counting()))
     total = docs.aggregate(n=A.counting())
     got = tf.inner_hash_join(df, on_keys("word", "word").projecting("df"), tag="d").df.crossJoin(F.broadcast(total.df))  # one row
     return Stage(got).map("doc_id", "word", score=F.round(F.col("tf") * (F.log("n") - F.log("d.df")), 6))
@@ -284,6 +324,12 @@ def hash_join2(t):
     return got.map("s_suppkey", nation="right1.n_name", part="right2.p_name")
 
 
+@query("SELECT s_suppkey, n_name AS nation, p_name AS part FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN part ON s_suppkey = p_size")
+def inner_hash_join2(t):
+    got = t("supplier").inner_hash_join2(t("nation"), on_keys("s_nationkey", "n_nationkey"), t("part"), on_keys("s_suppkey", "p_size"))
+    return got.map("s_suppkey", nation="right1.n_name", part="right2.p_name")
+
+
 @query("""SELECT l_orderkey, l_linenumber, c_name AS customer, n_name AS nation, p_brand AS brand FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey LEFT JOIN part ON l_partkey = p_partkey AND p_size > 20""")
 def hash_join_builder(t):
@@ -324,6 +370,20 @@ def map_using_service(t):
     return got.filter_using_service(non_shared_service(lambda _: {2}), lambda s, r: r["r_regionkey"] not in s)
 
 
+@query("SELECT n_nationkey, n_regionkey % 3 AS third FROM nation WHERE n_regionkey <> 4")
+def map_using_service_keyed(t):
+    """Rows of a key meet one service."""
+    service = non_shared_service(lambda _: {"by": 3})
+    got = t("nation").grouping_key("n_regionkey").map_using_service(service, lambda s, r: {"n_nationkey": r["n_nationkey"], "n_regionkey": r["n_regionkey"], "third": r["n_regionkey"] % s["by"]}, "n_nationkey int, n_regionkey int, third int")
+    return got.grouping_key("n_regionkey").filter_using_service(non_shared_service(lambda _: 4), lambda s, r: r["n_regionkey"] != s).map("n_nationkey", "third")
+
+
+@query("SELECT n_nationkey, n_regionkey AS key, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def map_using_map_keyed(t):
+    got = t("nation").grouping_key("n_regionkey").map_using_map(t("region"), "region", table_key="r_regionkey", value="r_name")
+    return got.map("n_nationkey", "region", key="n_regionkey")
+
+
 @query("SELECT n_nationkey, length(n_name)::BIGINT AS n FROM nation")
 def map_using_service_async(t):
     service = non_shared_service(lambda _: len)
