@@ -59,14 +59,23 @@ def test_early_results_update(spark, tmp_path):
     assert seen == [1, 3]
 
 
+def test_streams_refuse_what_groups_twice(spark, tmp_path):
+    put(str(tmp_path / "in"), "1", [("a", 1)])
+    stage = events(spark, str(tmp_path / "in")).grouping_key("k").window(windows.tumbling(10_000))
+    with pytest.raises(ValueError, match="twice"):
+        stage.aggregate(n=A.counting(), m=A.grouping_by("s"))
+
+
 def test_early_and_final_results(spark, tmp_path):
     from tidewater.streaming.early import start_with_early_results
 
     folder = str(tmp_path / "in")
     put(folder, "1", [("a", 1)])
-    stage = events(spark, folder).grouping_key("k").window(windows.tumbling(10_000)).aggregate(n=A.counting())
+    stage = events(spark, folder).grouping_key("k").window(windows.tumbling(10_000).with_early_results(200)).aggregate(n=A.counting())
     seen = []
-    queries = start_with_early_results(stage, lambda df: seen.extend((r.is_early, r.k, r.n) for r in df.collect()), str(tmp_path / "c"), 200)
+    with pytest.raises(ValueError):  # one query has one output mode
+        stage.write_to(sinks.noop())
+    queries = start_with_early_results(stage, lambda df: seen.extend((r.is_early, r.k, r.n) for r in df.collect()), str(tmp_path / "c"))
     try:
         for name, rows in (("2", [("a", 2)]), ("3", [("b", 30)])):
             queries.process_all()
@@ -83,6 +92,8 @@ def test_sessions_on_a_stream(spark, tmp_path):
     put(folder, "1", [("a", 1), ("a", 11), ("a", 13)])
     put(folder, "2", [("a", 100)])
     put(folder, "3", [("a", 200)])
+    for k in (1, 2, 3):  # a stream takes files by their times, which may be equal here
+        os.utime(f"{folder}/{k}", (1_700_000_000 + k, 1_700_000_000 + k))
     stage = events(spark, folder).grouping_key("k").window(windows.session(10_000)).aggregate(n=A.counting())
     rows = []
     drain(sinks.start(stage.df, lambda df, _: rows.extend((r.window_start.timestamp(), r.n) for r in df.collect()), mode="append", checkpoint=str(tmp_path / "c")))
@@ -206,3 +217,32 @@ def test_sql_jobs(spark, tmp_path):
     sql.execute("DROP JOB IF EXISTS j")
     assert sql.execute("SHOW JOBS").count() == 0 and "s2" in sql.snapshots
     assert F is not None
+
+
+def test_watchers_see_appended_lines(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.log").write_text("one\ntwo\nhalf")
+    seen = []
+    df = Pipeline(spark).read_from(sources.file_watcher(str(folder), "*.log")).df
+    run = lambda: drain(sinks.start(df, lambda d, _: seen.extend((r.file_name, r.value) for r in d.collect()), checkpoint=str(tmp_path / "c")))
+    run()
+    with open(folder / "a.log", "a") as f:
+        f.write(" a line\nthree\n")
+    (folder / "b.log").write_text("new\r\n")
+    (folder / "c.txt").write_text("not ours\n")
+    run()
+    assert sorted(seen) == [("a.log", "half a line"), ("a.log", "one"), ("a.log", "three"), ("a.log", "two"), ("b.log", "new")]
+    (folder / "d.json").write_text('{"k": "x", "s": 3}\n')
+    got = []
+    docs = Pipeline(spark).read_from(sources.json_watcher(str(folder), "k string, s long", "*.json")).df
+    drain(sinks.start(docs, lambda d, _: got.extend(map(tuple, d.collect())), checkpoint=str(tmp_path / "c2")))
+    assert got == [("x", 3)]
+
+
+def test_line_ends_are_found_backwards(tmp_path):
+    from tidewater.sources.tail import last_line_end
+
+    path = tmp_path / "x"
+    path.write_bytes(b"ab\ncd\nefghij")
+    assert [last_line_end(str(path), low, 13, step) for low in (0, 3, 7) for step in (2, 100)] == [6, 6, 6, 6, 7, 7]

@@ -6,6 +6,7 @@ same methods; what a streaming plan can't do raises as Spark says it.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
@@ -48,10 +49,12 @@ class Stage:
     df: DataFrame
     ts: str | None = None
     name: str = ""
+    #: Milliseconds between early results of the windows that this stage aggregates; 0 for none.
+    early_ms: int = 0
 
     def _with(self, df: DataFrame) -> Stage:
         keep = self.ts if self.ts in df.columns else None
-        return Stage(df, keep, self.name)
+        return Stage(df, keep, self.name, self.early_ms)
 
     # -- one row at a time
 
@@ -108,10 +111,24 @@ class Stage:
         df = self.df.withColumn(name, col(ts).cast("timestamp"))
         return Stage(df.withWatermark(name, f"{allowed_lag_ms} milliseconds") if df.isStreaming else df, name, self.name)
 
-    def peek(self, name: str = "peek", condition: ColumnLike | None = None) -> Stage:
-        """Counts what passes (rows; rows that meet the condition) under a name that query listeners see."""
+    def peek(self, name: str = "peek", condition: ColumnLike | None = None, to_string: Callable[[dict], str] | None = None) -> Stage:
+        """Counts what passes (rows; rows that meet the condition) under a name that query listeners see. With to_string the executors also log
+        the rows (those that meet the condition) to the logger of that name."""
         seen = [F.count(F.lit(1)).alias("rows")] + ([F.count_if(col(condition)).alias("matching")] if condition is not None else [])
-        return self._with(self.df.observe(name, *seen))
+        df = self.df.observe(name, *seen)
+        if to_string is not None:
+            marked = df.withColumn("__peek", F.coalesce(col(condition), F.lit(False)) if condition is not None else F.lit(True))
+
+            def run(batches):
+                log = logging.getLogger(name)
+                for batch in batches:
+                    rows = batch.drop(columns="__peek")
+                    for row in rows[batch["__peek"]].to_dict("records"):
+                        log.warning("%s", to_string(row))
+                    yield rows
+
+            df = marked.mapInPandas(run, df.schema)
+        return self._with(df)
 
     def apply(self, fn: Callable[[Stage], Stage]) -> Stage:
         return fn(self)
@@ -201,6 +218,8 @@ class Stage:
     # -- ends
 
     def write_to(self, sink) -> Any:
+        if self.early_ms and self.df.isStreaming:
+            raise ValueError("early and final results take two queries: streaming.early.start_with_early_results")
         if self.name:
             self.df.sparkSession.sparkContext.setJobDescription(self.name)
         return sink.write(self.df)
@@ -393,12 +412,14 @@ class WindowedStage:
         done = out.select(*self.definition.bounds(), *[f"`{c}`" for c in rest])
         # a result belongs to the last moment of its window, so that windows can follow each other
         done = done.withColumn("result_time", F.timestamp_micros(F.unix_micros("window_end") - 1)) if not done.isStreaming else done.withColumn("result_time", F.col("window_end"))
-        return Stage(done, "result_time")
+        return Stage(done, "result_time", early_ms=self.definition.early)
 
     def aggregate(self, op=None, **ops) -> Stage:
         df, keys = self._input
         ops = _ops(op, ops)
         if df.isStreaming:
+            if odd := [n for n, o in ops.items() if not isinstance(o, Aggregate) or o.prepare]:
+                raise ValueError(f"not on streams: {', '.join(odd)} (nested, flat-mapping and custom operations group twice or in Python)")
             plain = [o.column().alias(n) for n, o in ops.items()]
             return self._finish(df.groupBy(*keys).agg(*plain))
         return self._finish(grouping.aggregate(df, keys, ops))

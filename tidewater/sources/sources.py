@@ -144,7 +144,7 @@ class FileSourceBuilder:
         return Source(self.read)
 
     def build_watcher(self, max_files: int = 1000) -> Source:
-        """New files of the folder as a stream. Lines appended to a file already read are not seen."""
+        """New files of the folder as a stream, in any format. file_watcher sees appended lines too."""
 
         def read(spark: SparkSession) -> DataFrame:
             fixed = self if self.schema or FORMATS[self.fmt][0] in ("text", "binaryFile") else None
@@ -186,13 +186,23 @@ def json(path: str, schema: str | None = None) -> Source:
     return Source(read)
 
 
-def file_watcher(path: str, glob: str | None = None) -> Source:
-    made = files(path)
-    return (made.with_glob(glob) if glob else made).build_watcher()
+def file_watcher(path: str, glob: str | None = None, *, charset: str = "utf-8", only_new: bool = False) -> Source:
+    """Lines added to the folder's files, to old and new ones, as ``value`` with ``file_name``; only_new leaves out what is there at the start."""
+
+    def read(spark: SparkSession) -> DataFrame:
+        from tidewater.sources.tail import TailSource
+
+        spark.dataSource.register(TailSource)
+        options = {"path": path, "glob": glob or "*", "charset": charset, "from": "end" if only_new else "start"}
+        return spark.readStream.format(TailSource.name()).options(**options).load()
+
+    return Source(read)
 
 
-def json_watcher(path: str, schema: str) -> Source:
-    return files(path).with_format("json", schema).build_watcher()
+def json_watcher(path: str, schema: str, glob: str | None = None) -> Source:
+    """file_watcher, each line a JSON document."""
+    lines = file_watcher(path, glob)
+    return Source(lambda spark: lines.read(spark).select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("__row")).select("__row.*"))
 
 
 def hadoop(path: str, fmt: str = "parquet", **options: str) -> Source:

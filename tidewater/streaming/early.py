@@ -30,8 +30,12 @@ class EarlyResults:
         self.final.processAllAvailable()
 
 
-def start_with_early_results(stage: Stage, each: Callable[[DataFrame], Any], checkpoint: str, period_ms: int) -> EarlyResults:
-    """each gets rows with ``is_early``: at most every period_ms those of windows that changed, and final ones as windows close."""
+def start_with_early_results(stage: Stage, each: Callable[[DataFrame], Any], checkpoint: str, period_ms: int | None = None) -> EarlyResults:
+    """each gets rows with ``is_early``: at most every period_ms those of windows that changed, and final ones as windows close. The period is by
+    default that of the window's with_early_results."""
+    period_ms = period_ms or stage.early_ms
+    if not period_ms:
+        raise ValueError("the window has no early results, and no period is given")
 
     def run(mode: str, early: bool):
         writer = stage.df.writeStream.outputMode(mode).option("checkpointLocation", f"{checkpoint}/{mode}")
