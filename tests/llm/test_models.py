@@ -323,6 +323,48 @@ def test_a_notice_on_part_of_the_pages_is_template(spark):
     assert "one thing" in got[9]  # four pages are under MIN_PAGES
 
 
+def test_templates_choose_the_slots_of_pages_without_article(spark):
+    """Unnamed boxes: the one of the template that holds the text is the article, whatever changes in the others; without the template all stay."""
+    rows, want = [], {}
+    for i in range(9):
+        parts = [f"Paragraph {k} of page {i} goes on for some {i + k} words" for k in range(2 + i % 3)]
+        side = f"<div class=zx><p>Seen too: {i}</p><p>And {i + 1}</p></div>"
+        top = f"<table><tr><td>Today it is {i}</table>"
+        rows.append((i, "http://a.org/x", f"<html><body>{top}<div class=q7><h1>Page {i}</h1>{''.join(f'<p>{p}</p>' for p in parts)}</div>{side}</body></html>"))
+        want[i] = "\n".join([f"Page {i}", *parts])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract_pages(spark, df).collect()} == want
+    assert all(html_extract.pick_text(h, None) == f"Today it is {i}\n{want[i]}\nSeen too: {i}\nAnd {i + 1}" for i, _, h in rows)
+
+
+def test_classes_are_those_of_occurrence_vectors(spark):
+    """Tokens of a host that are on the same pages as often, by brute force over random pages."""
+    rnd = random.Random(2)
+    bits = ["<div class=a>", "</div>", "<p>", "<ul><li>x</ul>", "<section id=b><h2>same</h2></section>", "text", "other", "<table><tr><td>1</table>"]
+    rows = [(i, f"http://{'ab'[i % 2]}.org/", "<body>" + "".join(rnd.choice(bits) for _ in range(rnd.randint(2, 12)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.host, r.token): (r["class"], r.part, r.once) for r in html_extract.deduce_templates(spark, df).collect()}
+    want = {}
+    for host in ("a.org", "b.org"):
+        vectors = defaultdict(dict)
+        pages = [(i, h) for i, u, h in rows if html_extract.host_of(u) == host]
+        for i, h in pages:
+            for token, n in Counter(html_extract.read_page(h)[0]).items():
+                vectors[html_extract.token_key(token)][i] = n
+        for token, v in vectors.items():
+            if len(v) >= html_extract.MIN_PAGES:
+                want[host, token] = min(t for t, w in vectors.items() if w == v), len(v) / len(pages), max(v.values()) == 1
+    assert got == want and len({c for c, *_ in want.values()}) > 5
+
+
+def test_templates_round_trip():
+    template = {-5: (7, 0.5, 1.0, True), 1 << 60: (-9, 3.25, 0.01, False)}
+    import pyarrow as pa
+
+    rows = [{"token": t, "class": c, "place": p, "part": q, "once": o} for t, (c, p, q, o) in template.items()]
+    assert html_extract.unpack(html_extract.pack(pa.Table.from_pylist(rows))) == template
+
+
 def test_copies_of_a_page_are_no_template(spark):
     rows = [(i, "http://a.org/x", page(f"Title {i}", [f"Text {i}" if i < 14 else "A text that six pages have", "and its second part" if i >= 14 else f"Second {i}"])) for i in range(20)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -332,7 +374,7 @@ def test_copies_of_a_page_are_no_template(spark):
 
 def test_classes_are_ordered_by_occurrence_and_nested():
     key = html_extract.token_key
-    of = lambda *classes: {key(t): (n, float(k), 1.0 - n / 10) for n, c in enumerate(classes) for k, t in enumerate(c)}
+    of = lambda *classes: {key(t): (n, float(k), 1.0 - n / 10, True) for n, c in enumerate(classes) for k, t in enumerate(c)}
     valid = lambda page, *classes: sorted(html_extract.valid_classes(list(page), of(*classes)))
     assert valid("xabababy", "ab") == [1, 2, 3, 4, 5, 6]  # each pair after the other
     assert valid("xaabby", "ab") == []  # the second a comes before the first b

@@ -7,16 +7,18 @@ form an equivalence class. On a page a class is valid if it is ordered (the firs
 their mean places, then the second ones, and so on) and nested with the valid classes of more pages: where tokens of one come between
 two tokens of another, the whole occurrence does. What the valid classes hold is the template; what lies between is the slots.
 
-Pass 2 takes from each page the blocks in slots, leaves out elements that are no part of an article
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments: by tag, role and class names) and
-keeps the slots of the article: the largest ``article`` element, else ``main``, else all that is not mostly links.
+Pass 2 takes the slots of each page and leaves out elements that are no part of an article
+(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments: by tag, role and class names). The article is where the
+slots' text is: from the page down, the one element of the template (one that comes once a page) that holds over ``HOLDS`` of it, until none does or
+it is an ``article``. Of several articles there the largest is taken; a ``main`` is taken in place of what is around it; elsewhere blocks
+that are mostly links go, and ``h1`` headings of the page stay. Without a template (a host of under MIN_PAGES pages) only article and main count.
 Classes on under ``WIDE`` of the pages that together hold over half of the text are copies of a page and stay; so does the text if
 all of it is template.
 
 Scale: tokens are summed per batch before they shuffle by (host, token), so a host with a third of all pages
-sends few rows; only tokens above the support are kept, at most 1 / SUPPORT times a page's length. The templates are broadcast
-if they have at most ``BROADCAST_ROWS`` rows; else they meet the pages in groups of some ``TOGETHER``, hosts with more than that and a
-thousandth of all pages dealt to several.
+sends few rows; only tokens above the support are kept, at most 1 / SUPPORT times a page's length. The templates are broadcast, packed,
+if they have at most ``BROADCAST_ROWS`` rows (some 30 MB); else they meet the pages, compressed, in groups of some ``TOGETHER``, hosts with more than
+that and a thousandth of all pages dealt to several. Both ways give the same texts.
 
 Defined results: null or empty html gives an empty text and 0; a page without markup is one block; a null or odd url is a
 host of its own; repeated rows are rows of their own; unclosed tags end with what holds them.
@@ -28,18 +30,24 @@ import bisect
 import hashlib
 import html
 import re
+import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch
+from tidewater.llm.common import Scratch, tidy
 
 SUPPORT = 0.01
 MIN_PAGES = 5
 #: Part of a host's pages from which on a class can't be copies of one page.
 WIDE = 0.5
-BROADCAST_ROWS = 20_000
+#: Part of the slots' text that the element with the article holds.
+HOLDS = 2 / 3
+BROADCAST_ROWS = 1_000_000
+#: Hosts of which a worker keeps the unpacked template.
+UNPACKED = 256
 #: Pages that a task takes together where templates aren't broadcast.
 TOGETHER = 200
 
@@ -63,6 +71,8 @@ OTHER = frozenset(
     "comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager skip".split()
 )
 WRAPS = frozenset("html body main article".split())
+#: Elements that may hold an article.
+BOXES = frozenset("body div section main article td center".split())
 
 
 def _names(attrs: str) -> tuple[set[str], str, bool]:
@@ -81,14 +91,17 @@ def _names(attrs: str) -> tuple[set[str], str, bool]:
 
 
 class Block:
-    __slots__ = ("article", "links", "main", "path", "place", "skip", "text")
+    __slots__ = ("article", "head", "links", "main", "path", "place", "skip", "text")
 
 
 def read_page(source: str):
-    """(tokens, blocks): every tag path and text block in order, the blocks with what they lie in."""
+    """(tokens, blocks, boxes): every tag path and text block in order; the blocks with what they lie in; of the elements in BOXES that aren't
+    left out their first place, the place after their last, and name."""
     tokens: list[str] = []
     blocks: list[Block] = []
     stack: list[tuple[str, bool, int, bool]] = []  # name, skipped, article number, in main
+    boxes: list[list] = []
+    opened: list[list | None] = []  # the box of each element of the stack
     path: list[str] = []
     buffer: list[str] = []
     linked = size = articles = 0
@@ -101,13 +114,17 @@ def read_page(source: str):
             b.text, b.links, b.place = text, linked / max(1, size), len(tokens)
             _, b.skip, b.article, b.main = stack[-1] if stack else ("", False, 0, False)
             b.path = ">".join(path)
+            b.head = any(x[0] == "h1" for x in stack)
             blocks.append(b)
             tokens.append(f"{b.path}|{text}")
         buffer.clear()
         linked = size = 0
 
     def close(i: int):
-        del stack[i:], path[i:]
+        for box in opened[i:]:
+            if box:
+                box[1] = len(tokens)
+        del stack[i:], path[i:], opened[i:]
 
     for m in TOKEN.finditer(source):
         if m[5] is not None:
@@ -158,10 +175,14 @@ def read_page(source: str):
         if not attrs.rstrip().endswith("/"):
             stack.append((name, skip, article, main))
             path.append(name + ("." + ".".join(sorted(parts)[:3]) if parts else ""))
-            if name in BLOCK:
+            opened.append([len(tokens), 0, name] if name in BOXES and not skip else None)
+            if opened[-1]:
+                boxes.append(opened[-1])
+            if name in BLOCK or name in BOXES:
                 tokens.append(">".join(path))
     flush()
-    return tokens, blocks
+    close(0)
+    return tokens, blocks, boxes
 
 
 def token_key(token: str) -> int:
@@ -178,7 +199,7 @@ def _nested(one: tuple[int, ...], owner: dict[int, int], wholes: list[tuple[int,
     return True
 
 
-def valid_classes(tokens: list[str], template: dict[int, tuple[int, float, float]]) -> dict[int, float]:
+def valid_classes(tokens: list[str], template: dict[int, tuple]) -> dict[int, float]:
     """Places of the page's tokens in valid classes, with the class's part of the host's pages."""
     held: dict[int, dict[int, tuple[float, float, list[int]]]] = {}
     for k, token in enumerate(tokens):
@@ -205,24 +226,44 @@ def valid_classes(tokens: list[str], template: dict[int, tuple[int, float, float
     return known
 
 
-def pick_text(source: str | None, template: dict[int, tuple[int, float, float]] | None) -> str:
-    """The article's blocks; template has a class number, mean place and part of the pages for each token of the host's template."""
+def region(boxes: list[list], sizes: np.ndarray, marked: set[int]) -> tuple[int, int, str]:
+    """(first place, place after the last, name) of the smallest element, in turn, that holds over HOLDS of the text in the one before. sizes: the slots'
+    text by place; marked: the places of elements that count beside article and main."""
+    text = np.concatenate(([0], np.cumsum(sizes)))
+    now = (0, len(sizes), "")
+    for low, high, name in boxes:  # in page order: what lies in an element comes after it
+        inside = low >= now[0] and high <= now[1]
+        if now[2] != "article" and inside and (name in ("article", "main") or low in marked) and text[high] - text[low] > HOLDS * (text[now[1]] - text[now[0]]):
+            now = (low, high, name)
+    return now
+
+
+def pick_text(source: str | None, template: dict[int, tuple] | None) -> str:
+    """The article's blocks; template has a class number, mean place, part of the pages and whether it comes once a page for each token of the
+    host's template."""
     if not source:
         return ""
-    tokens, blocks = read_page(source)
+    tokens, blocks, boxes = read_page(source)
     own = [b for b in blocks if not b.skip]
-    size: dict[int, int] = {}
+    known = valid_classes(tokens, template) if template else {}
+    sizes = np.zeros(len(tokens), np.int64)
     for b in own:
+        if b.place not in known:
+            sizes[b.place] = len(b.text)
+    marked = {low for low, *_ in boxes if low in known and template[token_key(tokens[low])][3]} if template else set()
+    low, high, name = region(boxes, sizes, marked)
+    inside = [b for b in own if low <= b.place < high]
+    size: dict[int, int] = {}
+    for b in inside:
         if b.article:
             size[b.article] = size.get(b.article, 0) + len(b.text)
-    known = valid_classes(tokens, template) if template else {}
     if size:
         best = max(size, key=lambda a: (size[a], -a))
-        picked = [b for b in own if b.article == best]
-    elif any(b.main for b in own):
-        picked = [b for b in own if b.main]
+        picked = [b for b in inside if b.article == best]
+    elif any(b.main for b in inside):
+        picked = [b for b in inside if b.main]
     else:
-        picked = [b for b in own if b.links < 0.5]
+        picked = [b for b in own if (low <= b.place < high or b.head) and b.links < 0.5]
     left = [b for b in picked if known.get(b.place, 0.0) < WIDE]
     slots = [b for b in left if b.place not in known]
     if 2 * sum(len(b.text) for b in slots) < sum(len(b.text) for b in left):
@@ -266,7 +307,7 @@ def deduce_templates(spark, pages: DataFrame, page_col: str = "page_id", url_col
     scratch = Scratch(spark, "html")
     sums = (
         pages.select(pages[page_col].cast("string"), pages[url_col], pages[html_col])
-        .mapInArrow(_summed, _SUMS)
+        .mapInArrow(tidy(_summed), _SUMS)
         .groupBy("host", "token")
         .agg(*[F.sum(c).alias(c) for c in ("pages", "vector", "place", "n_pages")], F.min("least").alias("least"), F.max("most").alias("most"))
     )
@@ -274,50 +315,84 @@ def deduce_templates(spark, pages: DataFrame, page_col: str = "page_id", url_col
     hosts = sums.where((F.col("n_pages") >= MIN_PAGES) & (F.col("token") == 0)).select("host", F.col("n_pages").alias("of"))
     common = sums.where(F.col("token") != 0).join(hosts.hint("merge"), "host").where(F.col("pages") >= F.greatest(F.lit(MIN_PAGES), SUPPORT * F.col("of")))
     classes = common.groupBy("host", "pages", "vector").agg(F.min("token").alias("class"))
+    made = common.join(classes, ["host", "pages", "vector"])
     return scratch.table(
-        common.join(classes, ["host", "pages", "vector"]).select("host", "token", "class", (F.col("place") / F.col("pages")).alias("place"), (F.col("pages") / F.col("of")).alias("part"), "of"), "templates"
+        made.select("host", "token", "class", (F.col("place") / F.col("pages")).alias("place"), (F.col("pages") / F.col("of")).alias("part"), (F.col("most") == 1).alias("once"), "of"), "templates"
     )
 
 
+_PACKED = (("token", np.int64), ("class", np.int64), ("place", np.float64), ("part", np.float64), ("once", np.bool_))
+
+
+def pack(table: pa.Table) -> bytes:
+    """A host's template, 33 bytes a token."""
+    cols = [np.ascontiguousarray(table.column(c).to_numpy()).astype(t) for c, t in _PACKED]
+    return len(cols[0]).to_bytes(8, "little") + b"".join(c.tobytes() for c in cols)
+
+
+def unpack(data: bytes) -> dict[int, tuple]:
+    n, at, cols = int.from_bytes(data[:8], "little"), 8, []
+    for _, t in _PACKED:
+        cols.append(np.frombuffer(data, t, n, at).tolist())
+        at += n * np.dtype(t).itemsize
+    return dict(zip(cols[0], zip(*cols[1:], strict=True), strict=True))
+
+
+def _packed(table: pa.Table) -> pa.Table:
+    return pa.table({"host": [table.column("host")[0].as_py()], "data": pa.array([pack(table)], pa.binary())})
+
+
 def extract_pages(spark, pages: DataFrame, page_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars."""
     slim = pages.select(pages[page_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
     templates = deduce_templates(spark, slim, "page_id", "url", "html")
     out = f"page_id {slim.schema[0].dataType.simpleString()}, url string, text string, n_chars long"
 
-    def made(batch, texts):
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
-        )
+    def made(ids, urls, texts, kind=pa.RecordBatch):
+        return kind.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     if templates.count() <= BROADCAST_ROWS:
-        held: dict[str, dict[int, tuple[int, float, float]]] = {}
-        for r in templates.collect():
-            held.setdefault(r.host, {})[r.token] = (r["class"], r.place, r.part)
-        shared = spark.sparkContext.broadcast(held)
+        # a host's template has at most 1 / SUPPORT times the tokens of its mean page
+        packed = templates.drop("of").groupBy("host").applyInArrow(_packed, "host string, data binary")
+        shared = spark.sparkContext.broadcast({r.host: bytes(r.data) for r in packed.collect()})
 
         def run(batches):
+            held: dict[str, dict] = {}
             for batch in batches:
-                yield made(batch, [pick_text(h, shared.value.get(host_of(u))) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)])
-
-        return slim.mapInArrow(run, out)
+                texts = []
+                for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    host = host_of(u)
+                    if host in shared.value and host not in held:
+                        if len(held) >= UNPACKED:
+                            held.pop(next(iter(held)))
+                        held[host] = unpack(shared.value[host])
+                    texts.append(pick_text(h, held.get(host)))
+                yield made(batch.column(0), batch.column(1), texts)
+
+        return slim.mapInArrow(tidy(run), out)
 
     host = F.regexp_replace(F.lower(F.trim(F.coalesce("url", F.lit("")))), r"(?s)\A[a-z][a-z0-9+.-]*://|[/?#].*\z", "")
     n = slim.count()
     hot = templates.groupBy("host").agg(F.max("of").alias("of")).where(F.col("of") > max(TOGETHER, n / 1000)).select("host", F.ceil(F.col("of") / TOGETHER).cast("int").alias("parts"))
     group = F.pmod(F.xxhash64("host", "part_of"), F.lit(n // TOGETHER + 1)).alias("g")
-    dealt = slim.withColumn("host", host).join(F.broadcast(hot), "host", "left")
+    dealt = slim.withColumn("host", host).join(F.broadcast(hot), "host", "left")  # at most a thousand hosts
     dealt = dealt.withColumn("part_of", F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("parts", F.lit(1))).cast("int")).select(group, "page_id", "url", "html", "host")
     each = templates.join(F.broadcast(hot), "host", "left").withColumn("part_of", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-    each = each.select(group, "host", "token", "class", "place", "part")
+    each = each.select(group, "host", *[c for c, _ in _PACKED])
+
+    def squeezed(batches):
+        for batch in batches:
+            small = [None if h is None else zlib.compress(h.encode("utf-8", "surrogatepass"), 1) for h in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(small, pa.binary()), batch.column(4)], batch.schema.names)
 
     def run_grouped(rows, known):
-        held: dict[str, dict[int, tuple[int, float, float]]] = {}
-        for h, t, *rest in zip(*(known.column(c).to_pylist() for c in ("host", "token", "class", "place", "part")), strict=True):
+        held: dict[str, dict[int, tuple]] = {}
+        for h, t, *rest in zip(*(known.column(c).to_pylist() for c in ("host", *[c for c, _ in _PACKED])), strict=True):
             held.setdefault(h, {})[t] = tuple(rest)
-        texts = [pick_text(x, held.get(h)) for h, x in zip(rows.column("host").to_pylist(), rows.column("html").to_pylist(), strict=True)]
-        return pa.table([rows.column("page_id"), rows.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        sources = ((h, x and zlib.decompress(x).decode("utf-8", "surrogatepass")) for h, x in zip(rows.column("host").to_pylist(), rows.column("html").to_pylist(), strict=True))
+        return made(rows.column("page_id"), rows.column("url"), [pick_text(x, held.get(h)) for h, x in sources], pa.Table)
 
+    dealt = dealt.mapInArrow(tidy(squeezed), dealt._jdf.schema().toDDL().replace("html STRING", "html BINARY"))
     return dealt.groupBy("g").cogroup(each.groupBy("g")).applyInArrow(run_grouped, out)
 
 
