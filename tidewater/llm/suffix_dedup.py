@@ -41,9 +41,11 @@ PIECE = 1 << 20
 BUCKET_BYTES = 8 << 20
 BUCKET_WINDOWS = 400_000
 MAX_BUCKETS = 1 << 20
-#: Texts of which the splitters' sample takes the keys: one in SAMPLE_ONE_IN, within these bounds.
-SAMPLE_ONE_IN = 100
-SAMPLE_ROWS = (1500, 25_000)
+#: The splitters' sample: part of the text, in bytes within bounds, and keys of it that go to the driver, for each bucket and at most.
+SAMPLE_SHARE = 0.01
+SAMPLE_BYTES = (8 << 20, 4 << 30)
+KEYS_A_BUCKET = 64
+MAX_KEYS = 1 << 21
 WIDE = 1000
 
 _U = np.uint64
@@ -432,22 +434,29 @@ def _finish(texts_too: bool):
     return run
 
 
-def _sampled(batches):
-    for batch in batches:
-        ords, rids, texts = _batch(batch)
-        c = _records(ords, rids, texts)
-        yield _out([(sum(map(len, texts)), len(texts), _pack(c, np.arange(len(c["p"])), _RECORD[4:]))], ["size", "n", "data"], [pa.int64(), pa.int64(), pa.binary()])
+def _sampled(limit: int):
+    """Keys of texts, those of which the hash is at most limit."""
+
+    def run(batches):
+        for batch in batches:
+            c = _records(*_batch(batch))
+            yield _out([(_pack(c, np.flatnonzero(mix64(c["k2"]) <= _U(limit)), _RECORD[4:]),)], ["data"], [pa.binary()])
+
+    return run
 
 
-def _sampled_keys(rows: DataFrame, n_rows: int):
-    """(keys of the sampled texts in order, buckets of about BUCKET_BYTES of text for all of them)."""
-    share = min(1.0, min(max(n_rows / SAMPLE_ONE_IN, SAMPLE_ROWS[0]), SAMPLE_ROWS[1]) / max(n_rows, 1))
-    got = rows.sample(share, seed=11).mapInArrow(tidy(_sampled), "size long, n long, data binary").collect()
-    n = sum(r.n for r in got)
-    size = sum(r.size for r in got) / max(n, 1) * n_rows
-    c, _ = _unpack([r.data for r in got], _RECORD[4:])
+def _sampled_keys(rows: DataFrame):
+    """(some of the keys of sampled texts in order, buckets of about BUCKET_BYTES of text for all of them)."""
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    buckets = size // BUCKET_BYTES + 1
+    read = min(size, max(size * SAMPLE_SHARE, SAMPLE_BYTES[0]), SAMPLE_BYTES[1])
+    # a key for some 31 bytes; of all keys read, so many that the driver's part is bounded whatever the texts' lengths
+    wanted = min(MAX_KEYS, KEYS_A_BUCKET * buckets + 1000) / max(read / 31, 1)
+    limit = (1 << 64) - 1 if wanted >= 1 else int(wanted * (1 << 64))
+    got = rows.sample(min(1.0, read / max(size, 1)), seed=11).mapInArrow(tidy(_sampled(limit)), "data binary").collect()
+    c, _ = _unpack([bytes(r.data) for r in got], _RECORD[4:])
     order = multikey_order([c["k0"], c["k1"], c["k2"]]) if len(c["k0"]) else np.zeros(0, np.int64)
-    return tuple(c[k][order] for k in ("k0", "k1", "k2")), int(size // BUCKET_BYTES) + 1
+    return tuple(c[k][order] for k in ("k0", "k1", "k2")), buckets
 
 
 def _cut(keys: tuple[np.ndarray, ...], buckets: int):
@@ -460,9 +469,9 @@ def _cut(keys: tuple[np.ndarray, ...], buckets: int):
 def remove_repeats(spark, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts, what is left as ``kept``."""
     scratch = Scratch(spark, "suffix")
-    slim, n_rows = numbered(scratch, docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), "doc_id")
+    slim, _ = numbered(scratch, docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), "doc_id")
     rows = slim.select("ord", "rid", "text")
-    keys, buckets = _sampled_keys(rows, n_rows)
+    keys, buckets = _sampled_keys(rows)
     splitters, buckets = _cut(keys, buckets)
     parts = max(2, min(buckets, 20_000))
 
