@@ -102,8 +102,8 @@ def repeated_lines(scratch: Scratch, docs: DataFrame, min_lines: int = MIN_LINES
     return gone.unionByName(maximal_runs(tops).select("rid", "q", "n")) if tops else gone
 
 
-def line_dedup(spark, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with its texts less the deleted lines, and ``n_lines`` (not blank), ``n_removed`` beside."""
+def line_dedup(spark, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, counts: str | None = None) -> DataFrame:
+    """docs with its texts less the deleted lines, and ``n_lines`` (not blank), ``n_removed`` beside, or both in a struct column of the name counts."""
     scratch = Scratch(spark, "lines")
     rows, _ = numbered(scratch, slim(docs, id_col, text_col, carry=True))
     gone = repeated_lines(scratch, rows.select("ord", "rid", "text"), min_lines, min_chars)
@@ -120,6 +120,8 @@ def line_dedup(spark, docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     kind = joined.schema["row"].dataType.simpleString()
     left = joined.mapInArrow(run, f"row {kind}, text string, n_lines long, n_removed long")
     own = [left["text"].alias(c) if c == text_col else x for c, x in zip(docs.columns, carried(left, docs), strict=True)]
+    if counts:
+        return left.select(*own, F.struct("n_lines", "n_removed").alias(counts))
     return left.select(*(x for c, x in zip(docs.columns, own, strict=True) if c.lower() not in ("n_lines", "n_removed")), "n_lines", "n_removed")
 
 
