@@ -9,7 +9,8 @@ as the next one's docs. All but the last return the columns of documents:
 - decontamination: documents that a benchmark window hits go;
 - mixing: each document once per repetition that the mixture takes, numbered in ``copy``.
 
-Null texts pass all stages but the last, which takes them 0 times.
+A null text is scored as an empty one, by the model's bias: it goes if that is below 0.7. One that stays passes all further stages but the last, which takes
+it 0 times. Columns beside those of documents pass all stages, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = line_dedup.line_dedup(spark, docs)
-    left = left.where(F.col("text").isNull() | (F.col("n_removed") == 0) | (F.btrim("text", F.lit(BLANKS)) != ""))
+    left = line_dedup.line_dedup(spark, docs, counts="__counts")
+    counts = F.col("__counts.n_removed")
+    left = left.where(F.col("text").isNull() | (counts == 0) | (F.btrim("text", F.lit(BLANKS)) != ""))
     out = {"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return left.withColumns(out).select(*docs.columns)
+    return left.withColumns(out).select(*[f"`{c}`" for c in docs.columns])
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
