@@ -123,3 +123,20 @@ def test_every_stage_takes_an_empty_table(spark, inputs):
     docs = spark.read.parquet(f"{inputs}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, inputs).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, inputs):
+    docs = spark.read.parquet(f"{inputs}/documents.parquet").selectExpr("*", "1 AS rid", "2 AS ord", "3 AS gone", "4 AS n_lines", "5 AS n_removed", "6 AS row", "7 AS key", "8 AS class_id")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = spark.createDataFrame((out := stage(spark, docs, inputs)).collect(), out.schema)
+        assert docs.columns == columns
+        assert docs.selectExpr("rid = 1 AND ord = 2 AND gone = 3 AND n_lines = 4 AND n_removed = 5 AND row = 6 AND key = 7 AND class_id = 8 AS good").where("NOT good").count() == 0
+
+
+def test_a_null_text_is_scored_as_an_empty_one(spark, inputs):
+    docs = spark.read.parquet(f"{inputs}/documents.parquet").where("doc_id > 9000")
+    model = quality.learned(spark, spark.read.parquet(f"{inputs}/documents.parquet"), inputs)
+    null, empty = quality.score_texts([None, ""], *model)
+    kept = {r.doc_id for r in quality.score_quality(spark, docs, model, keep=quality.KEEP).collect()}
+    assert null == empty and (9001 in kept) == (9002 in kept) == (null >= 0.7)
