@@ -365,6 +365,16 @@ def test_templates_round_trip():
     assert html_extract.unpack(html_extract.pack(pa.Table.from_pylist(rows))) == template
 
 
+def test_passages_that_articles_share_are_no_template(spark):
+    """A paragraph on six of twenty pages stays; the same with a box of its own is template."""
+    line = "Released to all who want it"
+    boxed = lambda i: f"<div class=zq><p>{line}</div>" if 6 <= i < 12 else f"<p>{line}" if i < 6 else ""
+    rows = [(i, "http://a.org/x", page(f"Title {i}", [f"Text {i} goes on for longer", f"Second {i}{boxed(i)}"])) for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark, df).collect()}
+    assert got == {i: f"Title {i}\nText {i} goes on for longer\nSecond {i}" + f"\n{line}" * (i < 6) for i in range(20)}
+
+
 def test_copies_of_a_page_are_no_template(spark):
     rows = [(i, "http://a.org/x", page(f"Title {i}", [f"Text {i}" if i < 14 else "A text that six pages have", "and its second part" if i >= 14 else f"Second {i}"])) for i in range(20)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")

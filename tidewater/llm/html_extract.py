@@ -5,7 +5,8 @@ one host are summed up: on how many pages they are, a fingerprint of their occur
 on each) and their mean place. Tokens of a host with equal vectors that are on at least ``MIN_PAGES`` and ``SUPPORT`` of its pages
 form an equivalence class. On a page a class is valid if it is ordered (the first occurrences of its tokens come in the order of
 their mean places, then the second ones, and so on) and nested with the valid classes of more pages: where tokens of one come between
-two tokens of another, the whole occurrence does. What the valid classes hold is the template; what lies between is the slots.
+two tokens of another, the whole occurrence does. A class of texts without a tag counts only on ``WIDE`` of the pages: on fewer it is a passage that
+articles share. What the valid classes hold is the template; what lies between is the slots.
 
 Pass 2 takes the slots of each page and leaves out elements that are no part of an article
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments: by tag, role and class names). The article is where the
@@ -41,7 +42,7 @@ from tidewater.llm.common import Scratch, tidy
 
 SUPPORT = 0.01
 MIN_PAGES = 5
-#: Part of a host's pages from which on a class can't be copies of one page.
+#: Part of a host's pages from which on a class can't be copies of one page or a passage of articles.
 WIDE = 0.5
 #: Part of the slots' text that the element with the article holds.
 HOLDS = 2 / 3
@@ -217,6 +218,8 @@ def valid_classes(tokens: list[str], template: dict[int, tuple]) -> dict[int, fl
         flat = [k for t in times for k in t]
         if any(x >= y for x, y in zip(flat, flat[1:], strict=False)):
             continue
+        if members[0][1] < WIDE and all("|" in tokens[k] for k in times[0]):
+            continue  # texts alone: passages that articles share
         if not all(_nested(t, owner, wholes) for t in times):
             continue
         for t in times:
