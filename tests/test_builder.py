@@ -213,6 +213,17 @@ def test_file_sinks_observables_assertions(spark, tmp_path):
     o.add_observer(lambda r: seen.append(r.x))
     Pipeline(spark).write_to(o.sink(), s, s)
     assert sorted(seen) == ["a", "a", "b", "b"] and len(list(o)) == 4
+    few = sinks.Observable("few", capacity=3)
+    own, later = few.add_observer(seen.append), few.to_future(lambda rows: sorted(r.x for r in rows))
+    assert few.remove_observer(own) and not few.remove_observer(own)
+    Pipeline(spark).write_to(few.sink(), s.sort("x"), s.sort("x"))
+    assert len(later.result(1)) == 3 and len(seen) == 4
+    broken = few.to_future(len)
+    with pytest.raises(Exception, match="no"):
+        s.filter("assert_true(x = 'q', 'no') IS NULL").write_to(few.sink())
+    assert broken.exception(1) is not None
+    few.destroy()
+    assert list(few) == []
     one = s.map("x")
     one.sort("x").write_to(sinks.assert_ordered(["a", "b"]))
     one.write_to(sinks.assert_any_order(["b", "a"]))

@@ -7,7 +7,9 @@ new version, so there must be one writer at a time.
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from collections.abc import Callable
+from concurrent.futures import Future
 from dataclasses import dataclass
 from typing import Any
 
@@ -291,27 +293,59 @@ def from_builder(create: Callable[[], Any], receive: Callable[[Any, Any], None],
 
 
 class Observable:
-    """A named result: rows of batches or streams go to a table in memory that the client reads."""
+    """A named result that the client reads: the last ``capacity`` rows of batches or streams are held on the driver, older ones go."""
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, capacity: int = 10_000):
         self.name = name
-        self.rows: list = []
-        self.observers: list[Callable[[Any], None]] = []
-
-    def add_observer(self, fn: Callable[[Any], None]) -> None:
-        self.observers.append(fn)
-
-    def _take(self, df: DataFrame, _: int = 0) -> None:
+        self.rows: deque = deque(maxlen=capacity)
+        self.observers: dict[str, Callable[[Any], None]] = {}
+        self.waiting: list[tuple[Future, Callable[[list], Any]]] = []
+
+    def add_observer(self, fn: Callable[[Any], None]) -> str:
+        """An id to remove it by."""
+        own = uuid.uuid4().hex
+        self.observers[own] = fn
+        return own
+
+    def remove_observer(self, own: str) -> bool:
+        return self.observers.pop(own, None) is not None
+
+    def to_future(self, fn: Callable[[list], Any]) -> Future:
+        """fn of the rows held, when the next batch has been written or has failed."""
+        made: Future = Future()
+        self.waiting.append((made, fn))
+        return made
+
+    def destroy(self) -> None:
+        self.rows.clear()
+        self.observers.clear()
+        for made, _ in self.waiting:
+            made.cancel()
+        self.waiting.clear()
+
+    def _take(self, df: DataFrame) -> None:
         for row in df.toLocalIterator():
             self.rows.append(row)
-            for fn in self.observers:
+            for fn in list(self.observers.values()):
                 fn(row)
 
+    def _batch(self, df: DataFrame) -> None:
+        failed = None
+        try:
+            self._take(df)
+        except Exception as e:  # handed to those who wait, and raised
+            failed = e
+            raise
+        finally:
+            ended, self.waiting = self.waiting, []
+            for made, fn in ended:
+                made.set_exception(failed) if failed else made.set_result(fn(list(self.rows)))
+
     def sink(self) -> Sink:
-        return Sink(self._take)
+        return Sink(self._batch, lambda df: start(df, lambda part, _: self._take(part)))
 
     def __iter__(self):
-        return iter(self.rows)
+        return iter(list(self.rows))
 
 
 # -- assertions
