@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,11 +55,14 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables written in the shared folder, so that a lost executor costs no more than its tasks.
 
-    The folder goes when the session's Python process ends, or on close().
+    The folder goes when the session's Python process ends, on close(), or at the end of the short_lived() block that it was made in.
     """
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        Scratch.made.append(self)
         self.path = f"{scratch_dir(spark)}/tidewater-{name}-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, self.path)
 
@@ -71,9 +75,22 @@ class Scratch:
         _delete(self.spark, f"{self.path}/{name}")
 
     def close(self) -> None:
+        if self in Scratch.made:
+            Scratch.made.remove(self)
         _delete(self.spark, self.path)
 
 
+@contextmanager
+def short_lived():
+    """Deletes the tables that operators have written on the way inside of the block: write their result, or collect it, before it ends."""
+    before = list(Scratch.made)
+    try:
+        yield
+    finally:
+        for scratch in [s for s in Scratch.made if s not in before]:
+            scratch.close()
+
+
 LAST = (1 << 63) - 1
 
 
