@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import decontaminate, line_dedup, minhash, mixing, quality
-from tidewater.llm.common import BLANKS, Scratch
+from tidewater.llm.common import BLANKS, Scratch, short_lived
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
-        if k > 1:
+        with short_lived():
+            docs = scratch.table(stage(spark, docs, sf_dir), name)
+        if k:
             scratch.drop(STAGES[k - 1][0])
     return docs
