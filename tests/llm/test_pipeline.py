@@ -116,7 +116,11 @@ def test_run_is_the_stages_in_turn(spark, inputs):
     for _, stage in corpus_pipeline.STAGES:
         docs = spark.createDataFrame((out := stage(spark, docs, inputs)).collect(), out.schema)
     key = lambda df: sorted((r.doc_id, r["copy"], hashlib.sha256((r.text or "").encode()).hexdigest()) for r in df.collect())
-    assert key(corpus_pipeline.run(spark, inputs)) == key(docs)
+    before = len(Scratch.made)
+    made = corpus_pipeline.run(spark, inputs)
+    assert key(made) == key(docs)
+    # what stages wrote on the way has gone, and so have all results but the last
+    assert len(Scratch.made) == before + 1 and os.listdir(Scratch.made[-1].path.removeprefix("file:")) == ["mix"]
 
 
 def test_every_stage_takes_an_empty_table(spark, inputs):
