@@ -1,5 +1,6 @@
 """Shuffles and scans of executed plans."""
 
+import math
 import re
 
 import pytest
@@ -46,6 +47,22 @@ def test_tf_idf_counts_words_once(spark):
     assert "ReusedExchange" in plan and len(re.findall(r"Generate explode", plan)) == 1
 
 
+def test_tf_idf_deals_words_out_once(shuffling):
+    """Documents and words shuffle once each, and no table of a task's documents and words is held or sorted."""
+    plan = executed(registry.QUERIES["tf_idf"](shuffling, SF))
+    assert len(re.findall(r"\bExchange hashpartitioning", plan)) - plan.count("ReusedExchange") == 2
+    assert "SortMergeJoin" not in plan and not re.search(r"HashAggregate\(keys=\[doc_id", plan)
+
+
+def test_tf_idf_counts_rows_of_one_document_together(spark, tmp_path):
+    rows = [(1, "The cat, the\u212aCAT"), (1, "cat"), (2, None), (3, ""), (None, "the dog"), (None, "dog \u00e9t\u00e9"), (4, "12 - 7"), (5, "the " * 300_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    ln = lambda df: math.log(8) - math.log(df)
+    want = {(1, "the"): 2 * ln(3), (1, "cat"): 3 * ln(1), (None, "the"): ln(3), (None, "dog"): 2 * ln(1), (None, "t"): ln(1), (5, "the"): 300_000 * ln(3)}
+    got = registry.QUERIES["tf_idf"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.doc_id, r.word): r.score for r in got} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+
+
 def test_top_n_gathers_few_rows(spark):
     """Ranks are cut before rows are gathered, in part before they shuffle."""
     df = spark.read.parquet(f"{SF}/orders.parquet")

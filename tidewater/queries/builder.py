@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import accumulate
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewater.functions import aggregates as A
 from tidewater.operators import traverse, windows
@@ -294,13 +300,52 @@ SELECT doc_id, word, round(tf * (ln((SELECT count(*) FROM documents)) - ln(count
 def tf_idf(t):
     """Counts by document and word, joined with the number of documents of each word."""
     docs = t("documents")
-    words = docs.flat_map("split(text, '[^a-zA-Z]+')", "w", "doc_id").filter("w <> ''")
-    tf = words.grouping_key("doc_id", word="lower(w)").aggregate(tf=A.counting())
-    # the count looks at tf, so that both branches ask for the same columns and share one shuffle of the words
-    df = tf.grouping_key("word").aggregate(df=A.filtering("tf > 0", A.counting()))
     total = docs.aggregate(n=A.counting())
-    got = tf.inner_hash_join(df, on_keys("word", "word").projecting("df"), tag="d").df.crossJoin(F.broadcast(total.df))  # one row
-    return Stage(got).map("doc_id", "word", score=F.round(F.col("tf") * (F.log("n") - F.log("d.df")), 6))
+    counted = docs.filter("text IS NOT NULL").map("doc_id", text="text").rebalance("doc_id").custom_transform(_count_words)
+    # words are dealt out once, by word: counting and joining both keep to that
+    tf = counted.flat_map("words", "w", "doc_id").map("doc_id", word="w.word", tf="w.tf").rebalance("word")
+    # the count looks at all columns, so that both branches ask for the same ones and share the shuffle
+    df = tf.grouping_key("word").aggregate(df=A.filtering("tf > 0 OR doc_id IS NULL", A.counting()))
+    idf = Stage(df.df.crossJoin(F.broadcast(total.df))).map("word", idf=F.log("n") - F.log("df"))  # one row
+    # of the two sides only this one is held, a row for each word of a partition; no word is null
+    return Stage(tf.df.join(idf.df.hint("shuffle_hash"), "word")).map("doc_id", "word", score=F.round(F.col("tf") * F.col("idf"), 6))
+
+
+def _count_words(docs: DataFrame) -> DataFrame:
+    """doc_id and its words with their counts, a row for each document (several rows of one doc_id are one document): what is held
+    is one document's words, not those of all documents of a task."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ids = docs.select("doc_id").schema
+    letters = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(256))
+    most = 1 << 17
+
+    def run(batches):
+        made, held, now, counts = [], 0, None, Counter()
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                if doc != now and counts:
+                    made.append((now, counts))
+                    held += len(counts)
+                    counts = Counter()
+                    if held > most:
+                        yield packed(made)
+                        made, held = [], 0
+                now = doc
+                counts.update(text.translate(letters).split())
+        if counts:
+            made.append((now, counts))
+        if made:
+            yield packed(made)
+
+    def packed(made):
+        words = pa.array([w for _, c in made for w in c], pa.binary()).cast(pa.string())
+        times = pa.array([n for _, c in made for n in c.values()], pa.int64())
+        ends = pa.array([0, *accumulate(len(c) for _, c in made)], pa.int32())
+        pairs = pa.StructArray.from_arrays([words, times], ["word", "tf"])
+        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in made], arrow), pa.ListArray.from_arrays(ends, pairs)], ["doc_id", "words"])
+
+    arrow = to_arrow_schema(ids).field(0).type
+    return docs.sortWithinPartitions("doc_id").mapInArrow(run, f"doc_id {kind}, words array<struct<word: string, tf: bigint>>")
 
 
 # -- joins and services
