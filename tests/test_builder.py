@@ -32,6 +32,19 @@ def test_max_by_keeps_the_first_of_equals(spark):
     assert s.aggregate(A.max_by(["i", "x"], "v", "i")).collect()[0].result.x == "a"
 
 
+def test_items_by_one_key_with_nulls(spark):
+    """A null key is less than all others, a null item is an item; the same under a guard, and over frames of rows."""
+    rows = [("a", 1, None), ("a", 2, 5.0), ("a", 3, 7.0), ("b", 4, None), ("c", None, 9.0), ("c", 5, 1.0), ("d", 6, 2.0), ("e", 7, float("nan")), ("e", 8, 3.0)]
+    s = stage(spark, rows, "k string, i int, v double")
+    ops = {"most": A.max_by("i", "v"), "least": A.min_by("i", "v"), "small": A.filtering("v < 6", A.max_by("i", "v")), "few": A.filtering("i <> 1", A.min_by("i", "v"))}
+    got = {r.k: (r.most, r.least, r.small, r.few) for r in s.grouping_key("k").aggregate(**ops).collect()}
+    assert got == {"a": (3, 1, 2, 2), "b": (4, 4, None, 4), "c": (None, 5, 5, 5), "d": (6, 6, 6, 6), "e": (7, 8, 8, 8)}
+    last = s.grouping_key("k").rolling_aggregate(F.expr("coalesce(i, 99)"), **ops).df.where("coalesce(i, 99) IN (3, 4, 99, 6, 8)").collect()
+    assert {r.k: (r.most, r.least, r.small, r.few) for r in last} == got | {"c": (None, 5, 5, 5)}
+    assert s.filter("k = 'b'").aggregate(A.max_by("i", "v")).collect()[0].result == 4
+    assert s.filter("k = 'b'").aggregate(A.filtering("v > 0", A.min_by("i", "v"))).collect() == []
+
+
 def test_overflow_and_duplicate_keys_raise(spark):
     from pyspark.errors import PySparkException
 

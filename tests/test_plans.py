@@ -63,6 +63,14 @@ def test_tf_idf_counts_rows_of_one_document_together(spark, tmp_path):
     assert len(got) == len(want) and {(r.doc_id, r.word): r.score for r in got} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
 
 
+def test_items_by_one_key_are_hashed(spark):
+    """A struct as key would sort all exploded words before they are aggregated."""
+    assert not re.findall("SortAggregate", executed(registry.QUERIES["flat_mapping"](spark, SF)))
+    df = spark.read.parquet(f"{SF}/orders.parquet")
+    plan = executed(grouping.aggregate(df, [F.col("o_custkey")], {"a": A.max_by("o_orderkey", "o_totalprice"), "b": A.filtering("o_orderkey > 5", A.min_by("o_orderkey", "o_totalprice"))}))
+    assert not re.findall("SortAggregate", plan)
+
+
 def test_top_n_gathers_few_rows(spark):
     """Ranks are cut before rows are gathered, in part before they shuffle."""
     df = spark.read.parquet(f"{SF}/orders.parquet")

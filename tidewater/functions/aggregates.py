@@ -33,9 +33,11 @@ class Aggregate:
     prepare: Callable[[DataFrame], DataFrame] | None = None
     #: The n and the order, under a guard, of which only the first n rows of a group count: they are cut before they are gathered.
     first: tuple[int, Callable[[Column | None], list[Column]]] | None = None
+    #: The same as build, of several functions that Spark can hash, for group-bys: build's single one can go over a frame of rows.
+    hashed: Callable[[Column | None], Column] | None = None
 
     def column(self, guard: Column | None = None) -> Column:
-        made = self.build(guard)
+        made = (self.hashed or self.build)(guard)
         return made if self.empty is None else F.coalesce(made, literal(self.empty))
 
 
@@ -79,13 +81,28 @@ def _item(item: ColumnLike | list[ColumnLike]) -> Column:
 
 
 def min_by(item: ColumnLike | list, *by: ColumnLike) -> Aggregate:
-    """The item with the least key; further keys say which of equals comes first."""
-    return Aggregate(lambda g: F.min_by(_item(item), _when(g, F.struct(*map(col, by)))), None, True)
+    """The item with the least key; further keys say which of equals comes first. A null key is less than all others."""
+    hashed = _by_one_key(F.min_by, _item(item), col(by[0])) if len(by) == 1 else None
+    return Aggregate(lambda g: F.min_by(_item(item), _when(g, F.struct(*map(col, by)))), None, True, hashed=hashed)
 
 
 def max_by(item: ColumnLike | list, by: ColumnLike, *first: ColumnLike) -> Aggregate:
-    """The item with the greatest key; of equals the one that comes first by ``first`` (numbers or texts)."""
-    return Aggregate(lambda g: F.max_by(_item(item), _when(g, F.struct(col(by), *[c for f in first for c in _reversed(col(f))]))), None, True)
+    """The item with the greatest key; of equals the one that comes first by ``first`` (numbers or texts). A null key is less than all others."""
+    hashed = None if first else _by_one_key(F.max_by, _item(item), col(by))
+    return Aggregate(lambda g: F.max_by(_item(item), _when(g, F.struct(col(by), *[c for f in first for c in _reversed(col(f))]))), None, True, hashed=hashed)
+
+
+def _by_one_key(pick: Callable[[Column, Column], Column], item: Column, key: Column) -> Callable[[Column | None], Column]:
+    """pick by the key itself: numbers are then held in a hash table, while a struct as key makes Spark sort all rows before they are aggregated."""
+
+    def build(g: Column | None) -> Column:
+        null = key.isNull() if g is None else g & key.isNull()
+        best, of_null = pick(item, _when(g, key)), F.max_by(item, F.when(null, F.lit(1)))
+        if pick is F.min_by:
+            return F.when(F.count(F.when(null, F.lit(1))) > 0, of_null).otherwise(best)
+        return F.when(F.count(_when(g, key)) > 0, best).otherwise(of_null)
+
+    return build
 
 
 def _reversed(c: Column) -> tuple[Column, Column]:
@@ -183,7 +200,8 @@ def _guarded(op: Aggregate, own: Column) -> Aggregate:
     """op over the rows where own holds."""
     under = lambda g: own if g is None else g & own
     first = op.first and (op.first[0], lambda g: op.first[1](under(g)))
-    return replace(op, build=lambda g: op.build(under(g)), first=first)
+    hashed = op.hashed and (lambda g: op.hashed(under(g)))
+    return replace(op, build=lambda g: op.build(under(g)), first=first, hashed=hashed)
 
 
 def filtering(condition: ColumnLike, op: Aggregate) -> Aggregate:
